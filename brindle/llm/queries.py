@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.mixing import mix_sources
 from brindle.llm.near_dedup import near_duplicates
+from brindle.llm.quality_model import quality_scores
+from brindle.llm.quality_rules import quality_rules
+from brindle.llm.sharding import shard_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +24,29 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of all documents and the verdict of the learned list."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents at weights 5, 2, 1 and 150 % of all words."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 40 shards in 5 regions of 2 racks."""
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; a fifth of the labels is held out."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_near_dedup": op1_near_dedup}
+    return {q.__name__: q for q in (op1_near_dedup, op3_quality_rules, op7_mixing, op9_sharding, op10_quality_model)}
 
 
 def oracle_sql() -> dict[str, str]:
