@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brindle.llm.language import identify_languages
 from brindle.llm.mixing import mix_sources
 from brindle.llm.near_dedup import near_duplicates
 from brindle.llm.quality_model import quality_scores
 from brindle.llm.quality_rules import quality_rules
+from brindle.llm.secrets import scan_secrets
 from brindle.llm.sharding import shard_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +32,38 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of all documents, and a checksum of each redacted text."""
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), F.to_json("findings").alias("findings"),
+        F.crc32(F.encode(F.coalesce("redacted", F.lit("")), "UTF-8")).alias("redacted_crc32"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents at weights 5, 2, 1 and 150 % of all words."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the source as host and the declared language as markup."""
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def lid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same evidence for web pages: tags give the declaration, addresses the host, domain and suffix."""
+    html, host = F.col("html"), F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))
+    bare = F.regexp_replace(html, "(?is)<(script|style|nav)\\b.*?</\\1>|<!--.*?-->|<[^>]*>", " ")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", bare.alias("text"), F.nullif(F.regexp_extract(html, "(?i)<html[^>]*\\blang=[\"']?([a-z]+)", 1), F.lit("")).alias("lang"),
+        F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, "([^.]+\\.[^.]+)$", 1), F.lit("")).alias("domain"),
+        F.nullif(F.regexp_extract(host, "\\.([^.]+)$", 1), F.lit("")).alias("suffix"),
+    )
+    return identify_languages(pages, key="page_id", host="host", domain="domain", suffix="suffix")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards in 5 regions of 2 racks."""
     return shard_rows(table(spark, sf_dir, "documents"))
@@ -46,7 +75,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op3_quality_rules, op7_mixing, op9_sharding, op10_quality_model)}
+    return {q.__name__: q for q in (op1_near_dedup, op3_quality_rules, op6_secret_scan, op7_mixing, op8_language_id, op9_sharding, op10_quality_model, lid_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
