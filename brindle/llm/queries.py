@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from brindle.llm.language import identify_languages
 from brindle.llm.mixing import mix_sources
 from brindle.llm.near_dedup import near_duplicates
+from brindle.llm.neighbours import nearest
+from brindle.llm.pieces import encode_documents
 from brindle.llm.quality_model import quality_scores
 from brindle.llm.quality_rules import quality_rules
 from brindle.llm.secrets import scan_secrets
@@ -22,16 +26,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """The bytes of a SentencePiece model file; executors get them with the task."""
+    return Path(path or os.environ.get("BRINDLE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")).read_bytes()
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles at 0.8 over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all vectors."""
+    return nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of all documents and the verdict of the learned list."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and checksums of the ids of all documents, and whether they decode to the text."""
+    return encode_documents(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates and secrets of all documents, and a checksum of each redacted text."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,7 +94,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op3_quality_rules, op6_secret_scan, op7_mixing, op8_language_id, op9_sharding, op10_quality_model, lid_pages)}
+    return {q.__name__: q for q in (op1_near_dedup, op2_neighbours, op3_quality_rules, op4_pieces, op6_secret_scan, op7_mixing, op8_language_id, op9_sharding, op10_quality_model, lid_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
