@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm._graph import components
@@ -23,7 +23,7 @@ from brindle.llm._words import _GOLDEN, Words, chunks, mix, shingle_hashes
 
 _FULL = np.uint32(0xFFFFFFFF)
 _DENSE_FROM = 4
-_DEEPEST = 5  # bands that must be shared before a bucket is taken whole whatever its size
+_SLOTS = 240  # slots in a signature; bands are cut from the first of them, comparison uses all
 
 
 def signatures(elements: np.ndarray, owner: np.ndarray, n_sets: int, slots: int) -> np.ndarray:
@@ -81,6 +81,28 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def packed_slots(sig: np.ndarray) -> np.ndarray:
+    """Four low bits of each slot, sixteen slots to a 64-bit number, for comparing signatures in SQL."""
+    n, slots = sig.shape
+    low = np.zeros((n, -(-slots // 16) * 16), np.uint64)
+    low[:, :slots] = sig & np.uint32(15)
+    return np.bitwise_or.reduce(low.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def _alike(x: str, y: str, slots: int, percent: int) -> Column:
+    """Whether signatures agree in as many slots as sets at the similarity do, less four standard deviations."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    least = slots * p - 4 * (slots * p * (1 - p)) ** 0.5
+    words = -(-slots // 16)
+    differ = None
+    for i in range(words):
+        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        d = d.bitwiseOR(F.shiftright(d, 1))
+        d = F.bit_count(d.bitwiseOR(F.shiftright(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+        differ = d if differ is None else differ + d
+    return differ <= slots - least
+
+
 def _distinct_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     words = Words(texts)
     hashes, at = words.hashes(), words.offsets
@@ -95,18 +117,18 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             elements = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             owner = np.repeat(np.arange(len(sets)), sizes)
-            keys = band_keys(signatures(elements, owner, len(sets), bands * rows), bands, rows)
+            sig = signatures(elements, owner, len(sets), max(_SLOTS, bands * rows))
+            keys, packed = band_keys(sig, bands, rows), packed_slots(sig)
             first, second = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             full = np.flatnonzero(sizes)
             if len(full):
                 at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 first[full] = np.add.reduceat(mix(elements), at)
                 second[full] = np.add.reduceat(mix(elements ^ _GOLDEN), at)
-            flat = pa.array(keys.view(np.int64).ravel())
-            offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(np.int64).ravel())) for x in (keys, packed)]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(begin, end - begin), pa.array(sizes), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "bands"],
+                [ids.slice(begin, end - begin), pa.array(sizes), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), *lists],
+                names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "slots"],
             )
 
 
@@ -135,15 +157,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return shared.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent).select("a", "b").distinct()
 
 
-def _test_more(pairs: DataFrame, tested: DataFrame, links: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int, percent: int):
-    fresh = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-    if fresh.isEmpty():
-        return tested, links, roots
-    links = stored(links.union(_confirmed(fresh, docs, shingle, percent)), "links")
-    return stored(tested.union(fresh), "pairs"), links, components(links)
+def _plausible(pairs: DataFrame, slots: DataFrame, n_slots: int, percent: int) -> DataFrame:
+    left = slots.select(F.col("rep").alias("a"), F.col("slots").alias("sa"))
+    right = slots.select(F.col("rep").alias("b"), F.col("slots").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").where(_alike("sa", "sb", n_slots, percent)).select("a", "b").distinct()
+
 
+def _stars(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of each bucket's leaders with its members of other components: linear in the members.
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, crowd: int = 64) -> DataFrame:
+    Leaders are the least row, the one with the most company, and two drawn by a hash that changes with ``turn``.
+    """
+    own = F.struct("rep", "n", "root")
+    heads = placed.groupBy("key").agg(
+        F.array_distinct(F.array(F.min_by(own, "rep"), F.max_by(own, F.struct("weight", "rep")), *(F.min_by(own, F.xxhash64("rep", F.lit(2 * turn + i))) for i in range(2)))).alias("heads")
+    )
+    met = placed.join(heads, "key").select("rep", "n", "root", F.explode("heads").alias("h"))
+    fits = F.least("n", F.col("h.n")) * 100 >= F.greatest("n", F.col("h.n")) * percent
+    return met.where((F.col("root") != F.col("h.root")) & fits).select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, crowd: int = 32, turns: int = 4) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Takes ``docs(doc_id, text, ...)``; other columns are ignored. Returns one row for
@@ -155,52 +189,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     count as one document that has each of their sets. A null doc_id has no links,
     a null component_id, and is kept. An empty table gives an empty result.
 
-    Rows with equal sets are one class before any pairing. In a bucket of a band, each
-    class is first paired with the bucket's least class only. Buckets that then still
-    hold more than one component have the pairs across components tested, as long as
-    these number at most ``crowd`` for each member; a bucket with more is split by
-    pairs, triples, ... of bands until they do, which keeps the recall.
+    Rows with equal sets are one class before any pairing. In a bucket of a band, classes are
+    paired with four leaders only: the least, the one in most company, and two drawn by a
+    hash. Buckets that then still hold more than one component have all pairs across components
+    tested where they have at most ``crowd`` members; larger ones get further leaders, for
+    ``turns`` turns or until a turn finds no link. A set is left out of its group only if all its
+    links lead to sets that lead none of the (about ten) crowded buckets it shares with them.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(
-        base.mapInArrow(lambda it: _signed(it, shingle, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "signed"
+        base.mapInArrow(lambda it: _signed(it, shingle, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, slots array<long>"), "signed"
     )
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(real.groupBy("fp1", "fp2", "n_shingles").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep")), "classes")
-    same = real.join(classes.drop("bands"), ["fp1", "fp2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    classes = stored(real.groupBy("fp1", "fp2", "n_shingles").agg(F.min_by(F.struct("bands", "slots"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("fp1", "fp2", "n_shingles", "rep", "x.bands", "x.slots"), "classes")
+    same = real.join(classes.drop("bands", "slots"), ["fp1", "fp2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
+    slots, n_slots = classes.select("rep", "slots"), max(_SLOTS, bands * rows)
     spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    crowded = spread.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("head")).where("members > 1")
-    fits = F.least("n", F.col("head.n")) * 100 >= F.greatest("n", F.col("head.n")) * percent
-    star = spread.join(crowded, "key").where((F.col("rep") != F.col("head.rep")) & fits).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = stored(star, "pairs")
+    crowded = spread.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(spread.join(crowded, "key"), "shared")
+    # a set that meets many others is near the middle of its group
+    weights = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    shared = stored(shared.join(weights, "rep").withColumn("root", F.col("rep")), "shared")
+    tested = stored(_plausible(_stars(shared, percent, 0), slots, n_slots, percent), "pairs")
     links = stored(_confirmed(tested, base, shingle, percent), "links")
     roots = components(links)
-
-    members = spread.join(crowded.select("key"), "key").select("key", F.array("key").alias("used"), "rep", "n")
-    for depth in range(1, _DEEPEST + 1):
-        placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    for turn in range(1, turns + 1):
+        placed = shared.drop("root").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
         placed = stored(placed.join(mixed, "key"), "placed")
         if placed.isEmpty():
             break
-        squares = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-        load = stored(squares.select("key", ((F.col("m") * F.col("m") - F.col("sq")) / (2 * F.col("m"))).alias("load")), "load")
-        most = crowd if depth < _DEEPEST else float("inf")
-        light = placed.join(load.where(F.col("load") <= most).select("key"), "key")
-        x, y = (light.select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-        across = x.join(y, "key").where("ra <> rb and a < b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        tested, links, roots = _test_more(across.select("a", "b"), tested, links, roots, base, shingle, percent)
-        heavy = placed.join(load.where(F.col("load") > most).select("key"), "key").select("used", "rep", "n")
-        if heavy.isEmpty():
+        small = placed.where(F.col("members") <= crowd).join(slots, "rep")
+        x, y = (small.select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("slots").alias(f"s{c}")) for c in "ab")
+        near = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        pairs = _plausible(_stars(placed.where(F.col("members") > crowd), percent, turn), slots, n_slots, percent)
+        if turn == 1:
+            pairs = pairs.union(x.join(y, "key").where(near & _alike("sa", "sb", n_slots, percent)).select("a", "b"))
+        fresh = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        more = stored(_confirmed(fresh, base, shingle, percent), "more")
+        if more.isEmpty():
             break
-        finer = heavy.join(classes.select("rep", "bands"), "rep").select("rep", "n", "used", F.explode(F.array_except("bands", "used")).alias("band"))
-        finer = finer.select("rep", "n", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct()
-        finer = stored(finer.withColumn("key", F.xxhash64("used")), "finer")
-        packed = finer.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("head")).where("members > 1")
-        again = finer.join(packed, "key").where((F.col("rep") != F.col("head.rep")) & fits).select(F.col("head.rep").alias("a"), F.col("rep").alias("b"))
-        tested, links, roots = _test_more(again, tested, links, roots, base, shingle, percent)
-        members = finer.join(packed.select("key"), "key").select("key", "used", "rep", "n")
+        links, tested = stored(links.union(more), "links"), stored(tested.union(fresh), "pairs")
+        roots = components(links)
 
     whole = components(links.union(same))
     return signed.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
