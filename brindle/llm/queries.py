@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.language import identify_languages
+from brindle.llm.language_model import score_texts
 from brindle.llm.mixing import mix_sources
 from brindle.llm.near_dedup import near_duplicates
 from brindle.llm.neighbours import nearest
@@ -51,6 +52,11 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the base model and the filter's pair model."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates and secrets of all documents, and a checksum of each redacted text."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -94,7 +100,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op2_neighbours, op3_quality_rules, op4_pieces, op6_secret_scan, op7_mixing, op8_language_id, op9_sharding, op10_quality_model, lid_pages)}
+    return {q.__name__: q for q in (op1_near_dedup, op2_neighbours, op3_quality_rules, op4_pieces, op5_language_model, op6_secret_scan, op7_mixing, op8_language_id, op9_sharding, op10_quality_model, lid_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
