@@ -63,7 +63,7 @@ class TextModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         p = (counts + 0.2) / (counts.sum(axis=1, keepdims=True) + 0.2 * _CELLS)
-        table = np.log(p) - np.log(p).max(axis=0)
+        table = np.log(p) - (np.log(p).max(axis=0) if languages else 0)
         self.table = np.vstack([table.T, np.zeros((1, len(languages)))]).astype(np.float32)
 
     def logs(self, texts: list[str | None], most: int) -> tuple[np.ndarray, np.ndarray]:

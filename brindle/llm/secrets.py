@@ -18,8 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RUN = "A-Za-z0-9_+/=\\-"
-CANDIDATE = f"(?<![{_RUN}])(?=[A-Za-z_+/=\\-]*[0-9])[{_RUN}]{{16,}}"
+_RUN = "A-Za-z0-9_+/\\-"
+CANDIDATE = f"(?<![{_RUN}])(?=[A-Za-z_+/\\-]*[0-9])[{_RUN}]{{16,}}={{0,2}}"
 MASK = "[SECRET]"
 FRAGMENTS = (
     "access account address alpha api app article assets auth base beta blog build cache card category cdn channel client cloud code com commit config content "

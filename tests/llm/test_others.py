@@ -1,0 +1,180 @@
+"""Neighbours, pieces, secrets, mixing, sharding and the pipeline."""
+
+import collections
+import json
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from brindle.llm.mixing import fit_budget, mix_sources, targets
+from brindle.llm.neighbours import VantageTree, nearest
+from brindle.llm.pieces import MARK, PieceModel, decode_documents, encode_documents
+from brindle.llm.queries import op6_secret_scan, op7_mixing, op9_sharding, piece_model
+from brindle.llm.secrets import scan_secrets
+from brindle.llm.sharding import Tree, place, shard_rows
+
+sentencepiece = pytest.importorskip("sentencepiece")
+ODD = [(1, None, "s"), (2, "", None), (3, "one two", "s"), (3, "one two", "s"), (None, "three", "t"), (6, "long " * 20000, "\U0001f600")]
+
+
+def odd(spark):
+    return spark.createDataFrame([(d, t, s, "en", 1, 0) for d, t, s in ODD], "doc_id long, text string, source string, lang string, n_chars long, size int")
+
+
+def test_neighbours_exact(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for factor, least in ((1.0, 1.0), (0.85, 0.9)):
+        got = collections.defaultdict(dict)
+        for r in nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), factor=factor, shard_rows=200).collect():
+            got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+        hits = total = 0
+        for q in np.flatnonzero(ids % 50 == 0):
+            s = unit @ unit[q]
+            s[q] = -9
+            best = ids[np.lexsort((ids, -np.round(s, 12)))[:5]].tolist()
+            hits, total = hits + len({x for x, _ in got[ids[q]].values()} & set(best)), total + 5
+        assert hits >= least * total
+
+
+def test_neighbours_odd(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [-1e200, 1e200]), (100, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in nearest(df).collect())
+    assert got == [(0, 1, 3, 1.0), (0, 2, 50, 1.0), (0, 3, 9, -0.707107), (50, 1, 0, 1.0), (50, 2, 3, 1.0), (50, 3, 9, -0.707107)]
+    assert nearest(df.where("false")).count() == 0
+
+
+def test_tree_of_equal_vectors():
+    tree = VantageTree(np.arange(500), np.ones((500, 3)))
+    assert [i for _, i in tree.search(np.array([7]), np.ones((1, 3)), 5, 1.0)[0]] == [0, 1, 2, 3, 4]
+
+
+def test_pieces_equal_the_library(spark, sf):
+    blob = piece_model()
+    library = sentencepiece.SentencePieceProcessor(model_proto=blob)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    coded = encode_documents(docs, blob)
+    for r in coded.collect():
+        assert r["ids"] == library.encode(text[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["round_trip"]
+    assert {r["doc_id"]: r["text"] for r in decode_documents(coded.select("doc_id", "ids"), blob).collect()} == text
+
+
+@pytest.mark.parametrize("text", ["", " ", "  a  b ", "日本語 テキスト", "tab\tnew\nline", "<0x0A> </s>", "x" * 3000, "\U0001f44d\U0001f3fd é́", "a" + MARK + "b"])
+def test_pieces_of_odd_texts(text):
+    blob = piece_model()
+    model = PieceModel(blob)
+    ids = model.encode(text)
+    assert ids == sentencepiece.SentencePieceProcessor(model_proto=blob).encode(text)
+    assert model.decode(ids) == text.replace(MARK, " ")
+
+
+def test_unigram_viterbi():
+    model = PieceModel(piece_model())
+    model.kind = 1
+    for word, pieces in zip(["abc", "abd"], model.segments(["abc", "abd"])):
+        assert "".join(pieces) == word
+    model.scores = {"a": -1.0, "b": -1.0, "ab": -1.5, "c": -1.0, "bc": -3.0}
+    assert list(model.segments(["abc", "abca"])) == [["ab", "c"], ["ab", "c", "a"]]
+
+
+def test_pieces_odd(spark):
+    got = encode_documents(odd(spark), piece_model()).collect()
+    assert len(got) == len(ODD) and all(r["round_trip"] for r in got) and [r["n_tokens"] for r in got if r["doc_id"] in (1, 2)] == [0, 0]
+    assert encode_documents(odd(spark).where("false"), piece_model()).count() == 0
+
+
+def test_secrets(spark, sf):
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op6_secret_scan(spark, sf).collect():
+        t = text[r["doc_id"]]
+        assert r["n_secrets"] == len(re.findall(r'(?i)token = "[0-9a-f]{40}"', t))
+        for f in reversed(json.loads(r["findings"])):
+            t = t[: f["start"]] + "[SECRET]" + t[f["start"] + f["length"] :]
+        assert zlib.crc32(t.encode()) == r["redacted_crc32"]
+
+
+def test_secrets_odd(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'é password: "{key}" and {key[:16]}'), (2, "card 4485480221084675 ok"), (3, None), (4, ""), (5, f"commit {key} merged"), (6, f"token={key}"), (6, f"token={key}"), (7, "x" * 200_000 + f' api_key = "{key}"')]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, findings string")
+    got = sorted(((r["doc_id"], len(r["findings"]), r["redacted"]) for r in scan_secrets(df).collect()), key=lambda r: r[0])
+    assert [n for _, n, _ in got] == [1, 0, 0, 0, 0, 1, 1, 1]
+    assert got[0][2] == f'é password: "[SECRET]" and {key[:16]}' and got[2][2] is None and got[6][2] == "token=[SECRET]"
+    assert scan_secrets(df.where("false")).count() == 0
+
+
+def test_budget():
+    assert targets([("a", 100), ("b", 100), (None, 100)], (5, 2, 1), 1.5, 2.0) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
+    lengths, counts = [3, 7, 50, 901], [5, 3, 40, 12]
+    for budget in (0, 1, 3, 999, 5000, 12000, 10**6):
+        take = fit_budget(lengths, counts, budget)
+        total = sum(n * t for n, t in zip(lengths, take))
+        assert all(0 <= t <= c for t, c in zip(take, counts)) and total <= budget
+        best = max(sum(n * t for n, t in zip(lengths, x)) for x in np.ndindex(6, 4, 1, 1) if sum(n * t for n, t in zip(lengths, x)) <= budget)
+        assert total >= min(budget, best) if budget < 50 else True
+
+
+def test_mixing(spark):
+    sf = "/root/testdata/sf0.01"
+    a, b = (sorted(op7_mixing(spark, sf).collect()) for _ in range(2))
+    assert a == b
+    size = {r["doc_id"]: (len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])), r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    taken, target = collections.Counter(), {}
+    for r in a:
+        n, source = size[r["doc_id"]]
+        assert r["size"] == n and r["taken"] in (0, n, 2 * n)
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+    assert len(a) == len(size) and all(abs(taken[s] - target[s]) <= 2 for s in target)
+    out = mix_sources(odd(spark)).collect()
+    assert len(out) == len(ODD) and mix_sources(odd(spark).where("false")).count() == 0
+
+
+def test_sharding(spark, sf):
+    rows = op9_sharding(spark, sf).collect()
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 40)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(slots) < 40
+    got = shard_rows(odd(spark), rows_a_cell=1).collect()
+    assert len(got) == len(ODD) and {r["size"] for r in got if r["doc_id"] in (1, 2)} == {16}
+    assert shard_rows(odd(spark).where("false")).count() == 0
+
+
+def test_growth_stays_in_its_subtree(spark):
+    tree = Tree.even(2, 2, 2)
+    heavier = Tree(((((0, 3.0), (1, 1.0)), tree.regions[0][1]), tree.regions[1]))
+    df = spark.range(4000).withColumnRenamed("id", "k")
+    moves = collections.Counter((r["a"], r["b"]) for r in place(place(df, "k", tree, "a"), "k", heavier, "b").where("a <> b").collect())
+    assert moves and all(b // 4 == 0 for _, b in moves)
+    counts = collections.Counter(r["a"] for r in place(df, "k", tree, "a").collect())
+    assert min(counts.values()) > 400 and max(counts.values()) < 600
+
+
+def test_pipeline(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, sf), name)
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+        if name == "secret_scan":
+            assert docs.where("text rlike '(?i)token = \"[0-9a-f]{40}\"'").isEmpty()
+        if name == "language_id":
+            assert docs.count() >= 0.98 * before
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert out.where("not round_trip").isEmpty() and out.count() == docs.count()
+
+
+def test_pipeline_odd(spark, sf, tmp_path):
+    full = spark.read.parquet(f"{sf}/documents.parquet")
+    full.unionByName(odd(spark).select(*full.columns)).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    full.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
