@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._graph import components
+from brindle.llm._graph import components, few
 from brindle.llm._store import stored
 from brindle.llm._words import _GOLDEN, Words, chunks, mix, shingle_hashes
 
@@ -89,18 +89,24 @@ def packed_slots(sig: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
 
 
-def _alike(x: str, y: str, slots: int, percent: int) -> Column:
-    """Whether signatures agree in as many slots as sets at the similarity do, less four standard deviations."""
+def _most_apart(slots: int, percent: int) -> float:
+    """Slots in which sets at the similarity are expected to differ, and four standard deviations."""
     p = percent / 100 + (1 - percent / 100) / 16
-    least = slots * p - 4 * (slots * p * (1 - p)) ** 0.5
-    words = -(-slots // 16)
+    return slots - (slots * p - 4 * (slots * p * (1 - p)) ** 0.5)
+
+
+def _differ(x: str, y: str, slots: int) -> Column:
     differ = None
-    for i in range(words):
+    for i in range(-(-slots // 16)):
         d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
         d = d.bitwiseOR(F.shiftright(d, 1))
         d = F.bit_count(d.bitwiseOR(F.shiftright(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
         differ = d if differ is None else differ + d
-    return differ <= slots - least
+    return differ
+
+
+def _alike(x: str, y: str, slots: int, percent: int) -> Column:
+    return _differ(x, y, slots) <= _most_apart(slots, percent)
 
 
 def _distinct_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -158,26 +164,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
 
 def _plausible(pairs: DataFrame, slots: DataFrame, n_slots: int, percent: int) -> DataFrame:
+    """Pairs whose signatures are near enough, with the number of slots in which they differ."""
     left = slots.select(F.col("rep").alias("a"), F.col("slots").alias("sa"))
     right = slots.select(F.col("rep").alias("b"), F.col("slots").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(_alike("sa", "sb", n_slots, percent)).select("a", "b").distinct()
+    met = pairs.join(left, "a").join(right, "b").withColumn("differ", _differ("sa", "sb", n_slots))
+    return met.where(F.col("differ") <= _most_apart(n_slots, percent)).select("a", "b", "differ").distinct()
 
 
-def _stars(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+def _stars(placed: DataFrame, percent: int, turn: int, drawn: int) -> DataFrame:
     """Pairs of each bucket's leaders with its members of other components: linear in the members.
 
-    Leaders are the least row, the one with the most company, and two drawn by a hash that changes with ``turn``.
+    Leaders are the least row, the one with the most company, and ``drawn`` more by a hash that changes with ``turn``.
     """
     own = F.struct("rep", "n", "root")
-    heads = placed.groupBy("key").agg(
-        F.array_distinct(F.array(F.min_by(own, "rep"), F.max_by(own, F.struct("weight", "rep")), *(F.min_by(own, F.xxhash64("rep", F.lit(2 * turn + i))) for i in range(2)))).alias("heads")
-    )
+    more = (F.min_by(own, F.xxhash64("rep", F.lit(8 * turn + i))) for i in range(drawn))
+    heads = placed.groupBy("key").agg(F.array_distinct(F.array(F.min_by(own, "rep"), F.max_by(own, F.struct("weight", "rep")), *more)).alias("heads"))
     met = placed.join(heads, "key").select("rep", "n", "root", F.explode("heads").alias("h"))
     fits = F.least("n", F.col("h.n")) * 100 >= F.greatest("n", F.col("h.n")) * percent
     return met.where((F.col("root") != F.col("h.root")) & fits).select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, crowd: int = 32, turns: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, crowd: int = 32, turns: int = 2) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Takes ``docs(doc_id, text, ...)``; other columns are ignored. Returns one row for
@@ -186,13 +193,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     missed with probability below 1e-5, before links over third documents.
 
     Null or blank texts have an empty set and no links. Rows that repeat a doc_id
-    count as one document that has each of their sets. A null doc_id has no links,
+    are judged each by its own set. A null doc_id has no links,
     a null component_id, and is kept. An empty table gives an empty result.
 
     Rows with equal sets are one class before any pairing. In a bucket of a band, classes are
-    paired with four leaders only: the least, the one in most company, and two drawn by a
-    hash. Buckets that then still hold more than one component have all pairs across components
-    tested where they have at most ``crowd`` members; larger ones get further leaders, for
+    paired with two leaders only: the least and the one in most company. Buckets that then still
+    hold more than one component have all pairs across components
+    tested where they have at most ``crowd`` members; larger ones get three further leaders, drawn by a hash, for
     ``turns`` turns or until a turn finds no link. A set is left out of its group only if all its
     links lead to sets that lead none of the (about ten) crowded buckets it shares with them.
     """
@@ -201,39 +208,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         base.mapInArrow(lambda it: _signed(it, shingle, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, slots array<long>"), "signed"
     )
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(real.groupBy("fp1", "fp2", "n_shingles").agg(F.min_by(F.struct("bands", "slots"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("fp1", "fp2", "n_shingles", "rep", "x.bands", "x.slots"), "classes")
-    same = real.join(classes.drop("bands", "slots"), ["fp1", "fp2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-
+    middle = real.groupBy("fp1", "fp2", "n_shingles").agg(F.min_by(F.struct("bands", "slots"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
+    classes = stored(middle.select("fp1", "fp2", "n_shingles", "rep", "x.bands", "x.slots"), "classes")
     slots, n_slots = classes.select("rep", "slots"), max(_SLOTS, bands * rows)
     spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(spread.join(crowded, "key"), "shared")
+    n_shared = shared.count()
     # a set that meets many others is near the middle of its group
-    weights = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
-    shared = stored(shared.join(weights, "rep").withColumn("root", F.col("rep")), "shared")
-    tested = stored(_plausible(_stars(shared, percent, 0), slots, n_slots, percent), "pairs")
-    links = stored(_confirmed(tested, base, shingle, percent), "links")
+    weights = few(shared.groupBy("rep").agg(F.sum("members").alias("weight")), n_shared)
+    shared = stored(few(shared.join(weights, "rep"), n_shared).withColumn("root", F.col("rep")), "shared")
+
+    first = stored(_plausible(_stars(shared, percent, 0, 0), slots, n_slots, percent), "pairs")
+    # one link is enough to join a group: the most alike pair of each set comes first, and others only across what is then apart
+    best = first.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
+    links = stored(_confirmed(best, base, shingle, percent), "links")
     roots = components(links)
-    for turn in range(1, turns + 1):
-        placed = shared.drop("root").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-        placed = stored(placed.join(mixed, "key"), "placed")
-        if placed.isEmpty():
-            break
-        small = placed.where(F.col("members") <= crowd).join(slots, "rep")
-        x, y = (small.select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("slots").alias(f"s{c}")) for c in "ab")
-        near = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        pairs = _plausible(_stars(placed.where(F.col("members") > crowd), percent, turn), slots, n_slots, percent)
-        if turn == 1:
-            pairs = pairs.union(x.join(y, "key").where(near & _alike("sa", "sb", n_slots, percent)).select("a", "b"))
-        fresh = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+    for turn in range(turns + 1):
+        if turn == 0:
+            pairs = first.select("a", "b")
+        else:
+            placed = few(_rooted(shared.drop("root"), roots, "rep", "root"), n_shared)
+            mixed = few(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key"), n_shared)
+            placed = stored(few(placed.join(mixed, "key"), n_shared), "placed")
+            if placed.isEmpty():
+                break
+            pairs = _plausible(_stars(placed.where(F.col("members") > crowd), percent, turn, 3), slots, n_slots, percent).select("a", "b")
+            if turn == 1:
+                small = placed.where(F.col("members") <= crowd).join(slots, "rep")
+                x, y = (small.select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("slots").alias(f"s{c}")) for c in "ab")
+                near = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+                pairs = pairs.union(few(x.join(y, "key").where(near & _alike("sa", "sb", n_slots, percent)), n_shared).select("a", "b")).distinct()
+        apart = _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+        fresh = stored(few(apart, n_shared), "fresh")
         more = stored(_confirmed(fresh, base, shingle, percent), "more")
-        if more.isEmpty():
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
+        elif turn:
             break
-        links, tested = stored(links.union(more), "links"), stored(tested.union(fresh), "pairs")
-        roots = components(links)
 
-    whole = components(links.union(same))
-    return signed.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(True)).alias("kept")
-    )
+    placed = signed.join(classes.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"], "left")
+    placed = placed.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    out = placed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _rooted(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
+    known = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    return df.join(known, column, "left").withColumn(out, F.coalesce("_root", column)).drop("_root")
