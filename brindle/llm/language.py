@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._store import stored
+from brindle.llm._store import drawn, stored
 from brindle.llm._words import _LOWER, chunks
 
 _CELLS = 1 << 16
@@ -81,13 +81,12 @@ def _smoothed(count: Column, total: Column, back: Column, weight: float) -> Colu
     return (F.coalesce(count, F.lit(0)) + weight * back) / (F.coalesce(total, F.lit(0)) + weight)
 
 
-def _trained(docs: DataFrame, text: str, declared: str, learn_rows: int, most_languages: int) -> TextModel:
-    marked = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(declared).alias("lang"))
-    # the key of the draw is the text itself, so that rows of one text are in or out together
-    rows = stored(marked.orderBy(F.xxhash64("text"), "lang").limit(learn_rows), "lid-sample")
+def _trained(docs: DataFrame, key: str, text: str, declared: str, learn_rows: int, most_languages: int) -> TextModel:
+    marked = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(declared).alias("lang"))
+    rows = stored(drawn(marked, learn_rows, "key", "text", "lang"), "lid-sample")
     languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
     languages.sort()
-    known = rows.where(F.col("lang").isin(languages)).repartition(4)
+    known = rows.where(F.col("lang").isin(languages)).select("text", "lang").repartition(4)
     parts = known.mapInArrow(lambda it: _counted(it, languages), "counts binary").collect()
     counts = sum((np.frombuffer(p["counts"], np.int32).reshape(len(languages), _CELLS).astype(np.int64) for p in parts), np.zeros((len(languages), _CELLS), np.int64))
     return TextModel(languages, counts)
@@ -101,7 +100,7 @@ def identify_languages(
 
     ``declared`` is the column with the language that the markup declares; ``host``, ``domain`` and
     ``suffix`` are columns or None. The text model is fitted on at most ``learn_rows`` rows, the least by a
-    hash of the text; all counts of hosts, suffixes and declarations are over all rows.
+    hash of the row; all counts of hosts, suffixes and declarations are over all rows.
 
     Returns a row for each input row: the key, n_trigrams, text_lang (by text alone), pred_lang,
     posterior, accepted (posterior at least ``least``, some letters, and among ``accept`` if given).
@@ -111,7 +110,7 @@ def identify_languages(
     """
     one = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
     given = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), one(declared).alias("_d"), one(host).alias("_h"), one(domain).alias("_o"), one(suffix).alias("_s"))
-    model = _trained(docs, text, declared, learn_rows, most_languages)
+    model = _trained(docs, key, text, declared, learn_rows, most_languages)
     names = model.languages
     if not names:
         none = F.lit(None).cast("string")

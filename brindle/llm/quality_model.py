@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._store import stored
+from brindle.llm._store import drawn, stored
 from brindle.llm._words import Words, chunks
 
 FEATURES = (
@@ -192,7 +192,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold
     """
     fold = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(folds))
     marked = labels.where("quality is not null and doc_id is not null").where(fold != held_fold).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    picked = stored(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(learn_rows), "labelled")
+    picked = stored(drawn(marked, learn_rows, "doc_id"), "labelled")
     taught = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "quality")
     rows = taught.mapInArrow(_featured, "doc_id long, x array<double>, quality int").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * learn_rows).toPandas()
     model = fit(np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES)), rows["quality"].to_numpy(int))

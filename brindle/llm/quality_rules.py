@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._store import stored
+from brindle.llm._store import drawn, stored
 
 GAP = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -153,8 +153,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, learn_rows: int = 20_000)
     """
     base = docs.select("doc_id", "text")
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(learn_rows)
-    taught = text_stats(base.join(stored(picked, "labelled"), "doc_id", "left_semi")).join(picked, "doc_id")
+    picked = stored(drawn(marked, learn_rows, "doc_id"), "labelled")
+    taught = text_stats(base.join(picked, "doc_id", "left_semi")).join(picked, "doc_id")
     rows = taught.orderBy(F.xxhash64("doc_id"), "doc_id").select("quality", *FEATURES).limit(2 * learn_rows).collect()
     bad = np.array([r["quality"] == 0 for r in rows], bool)
     rules = learn_list({f: np.array([r[f] for r in rows]) for f in FEATURES}, bad) if bad.any() and not bad.all() else []
