@@ -287,8 +287,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars
                 train = np.flatnonzero(~block.held[text])[:400_000]
                 yield pa.RecordBatch.from_arrays([pa.array([x[train].astype(np.float32).tobytes()]) for x in (single, pair, context)], names=["single", "pair", "context"])
 
-    few = blocks.where("train_docs > 0").orderBy(F.xxhash64("block")).limit(learn_blocks)
-    seen = few.mapInArrow(sampled, "single binary, pair binary, context binary").collect()
+    # numbers of blocks first, so that no block travels to be sorted
+    some = [r["block"] for r in blocks.where("train_docs > 0").select("block").orderBy(F.xxhash64("block")).limit(learn_blocks).collect()]
+    seen = blocks.where(F.col("block").isin(some)).mapInArrow(sampled, "single binary, pair binary, context binary").collect()
     columns = [np.concatenate([np.frombuffer(r[c], np.float32) for r in seen] or [np.empty(0, np.float32)]).astype(float) for c in ("single", "pair", "context")]
     weights = fit_weights(*columns)
 
