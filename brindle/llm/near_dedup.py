@@ -23,6 +23,7 @@ from brindle.llm._words import _GOLDEN, Words, chunks, mix, shingle_hashes
 
 _FULL = np.uint32(0xFFFFFFFF)
 _DENSE_FROM = 4
+_MOST_SENT = 4_000_000  # ids, of 8 bytes each, that are broadcast at most
 _SLOTS = 240  # slots in a signature; bands are cut from the first of them, comparison uses all
 
 
@@ -152,7 +153,9 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    # ids go to the texts, not texts to the ids, as long as they fit; beyond that both are dealt by id
+    wanted = F.broadcast(wanted) if wanted.count() <= _MOST_SENT else wanted
     some = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(some.mapInArrow(lambda it: _sets(it, shingle), "doc_id long, grams array<long>"), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
