@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from brindle.llm._words import _GOLDEN, Words, chunks, mix, shingle_hashes
 _FULL = np.uint32(0xFFFFFFFF)
 _DENSE_FROM = 4
 _MOST_SENT = 4_000_000  # ids, of 8 bytes each, that are broadcast at most
+_BLOCK = 1024  # members of a crowded bucket that meet as many others in one task
 _SLOTS = 240  # slots in a signature; bands are cut from the first of them, comparison uses all
 
 
@@ -187,6 +189,43 @@ def _stars(placed: DataFrame, percent: int, turn: int, drawn: int) -> DataFrame:
     return met.where((F.col("root") != F.col("h.root")) & fits).select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
 
 
+def _meetings(left: pd.DataFrame, right: pd.DataFrame, slots: int, percent: int) -> pd.DataFrame:
+    """Of two blocks, the pairs across roots whose sizes and signatures are near enough."""
+    out: list[np.ndarray] = []
+    if len(left) and len(right):
+        most, other = _most_apart(slots, percent), np.stack(right["slots"].to_list()).view(np.uint64)
+        rep, n, root = (right[c].to_numpy() for c in ("rep", "n", "root"))
+        for a, na, ra, sa in zip(left["rep"].to_list(), left["n"].to_list(), left["root"].to_list(), left["slots"].to_list()):
+            at = np.flatnonzero((root != ra) & (np.minimum(n, na) * 100 >= np.maximum(n, na) * percent))
+            d = other[at] ^ np.asarray(sa, np.int64).view(np.uint64)
+            d |= d >> np.uint64(1)
+            d = (d | (d >> np.uint64(2))) & np.uint64(0x1111111111111111)
+            differ = np.bitwise_count(d).sum(axis=1, dtype=np.int64)
+            near = differ <= most
+            b = rep[at[near]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), differ[near]], axis=1))
+    return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["a", "b", "differ"])
+
+
+def _across(placed: DataFrame, slots: DataFrame, n_slots: int, percent: int, block: int = _BLOCK) -> DataFrame:
+    """Every plausible pair (a, b, differ) across the roots of each bucket.
+
+    Of two members with different roots one at least is outside the bucket's largest root, so those outside meet
+    all members. Both sides are dealt in blocks, a pair of blocks to a task; only plausible pairs leave it.
+    """
+    roots = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+    sizes = roots.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    sizes = sizes.where("all > most").select("key", "main", F.ceil(F.col("all") / block).alias("nr"), F.ceil((F.col("all") - F.col("most")) / block).alias("nl"))
+    rows = stored(placed.select("key", "rep", "n", "root").join(sizes, "key").join(slots, "rep"), "across")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("root <> main").select("key", place("nl").alias("i"), each("nr").alias("j"), "rep", "n", "root", "slots")
+    right = rows.select("key", place("nr").alias("j"), each("nl").alias("i"), "rep", "n", "root", "slots")
+    by = ["key", "i", "j"]
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda x, y: _meetings(x, y, n_slots, percent), "a long, b long, differ long")
+    return met.distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, crowd: int = 32, turns: int = 2) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -203,8 +242,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     paired with two leaders only: the least and the one in most company. Buckets that then still
     hold more than one component have all pairs across components
     tested where they have at most ``crowd`` members; larger ones get three further leaders, drawn by a hash, for
-    ``turns`` turns or until a turn finds no link. A set is left out of its group only if all its
-    links lead to sets that lead none of the (about ten) crowded buckets it shares with them.
+    ``turns`` turns or until a turn finds no link. What these leave apart is then tested in all pairs across
+    components, in blocks; so leaders save work and decide nothing.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(
@@ -251,6 +290,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         elif turn:
             break
 
+    # what the leaders left apart: all pairs across roots, smaller buckets were done above
+    placed = few(_rooted(shared.where(F.col("members") > (crowd if turns else 1)).drop("root"), roots, "rep", "root"), n_shared)
+    rest = stored(_across(stored(placed, "placed"), slots, n_slots, percent), "rest")
+    if not rest.isEmpty():
+        # the most alike pair of each set first, which leaves fewer pairs across roots to compare in full
+        ends = rest.select(F.col("a").alias("x"), "a", "b", "differ").union(rest.select(F.col("b").alias("x"), "a", "b", "differ"))
+        near = stored(ends.groupBy("x").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "near")
+        links = links.union(stored(_confirmed(near, base, shingle, percent), "more"))
+        roots = components(links)
+        left = _rooted(_rooted(rest.join(near, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+        left = stored(left, "fresh")
+        if not left.isEmpty():
+            links = links.union(stored(_confirmed(left, base, shingle, percent), "more"))
+            roots = components(links)
+
     placed = signed.join(classes.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"], "left")
     placed = placed.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     out = placed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))

@@ -71,6 +71,24 @@ def test_family_of_copies(spark):
     assert sum(got[d] != want[d] for d in want) <= 1
 
 
+def test_links_between_members_that_lead_nothing(spark):
+    # all share a core at 0.78; only the two of a pair reach 0.8, and mostly meet in buckets with half of all rows
+    core = [f"c{i}" for i in range(142)]
+    rows = [(2 * p + m, " ".join([*core, f"t{p}a", f"t{p}b", *(f"o{p}x{m}x{i}" for i in range(18))])) for p in range(80) for m in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(df, shingle=1).collect()}
+    assert got == brute(rows, 1)
+
+
+def test_blocks_meet_in_all_pairs(spark):
+    from brindle.llm.near_dedup import _across
+
+    rows = [(7, i, 10, 0 if i < 9 else i, [0] * 15) for i in range(14)]
+    placed = spark.createDataFrame(rows, "key long, rep long, n long, root long, slots array<long>")
+    got = {(r["a"], r["b"]) for r in _across(placed.drop("slots"), placed.select("rep", "slots"), 240, 80, block=3).collect()}
+    assert got == {(i, j) for i in range(14) for j in range(max(i + 1, 9), 14)}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t", "a"), (4, "One", "a"), (5, "one", None), (5, "one", None), (None, "one", "b"), (7, "two " * 30000, "b"), (8, "two " * 30000, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
