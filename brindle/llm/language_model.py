@@ -2,12 +2,13 @@
 
 Counts of words and word pairs are quantised on a logarithmic scale. The filter
 holds an n-gram once for every level up to its own; its count is read by probing
-level after level until one is missing. The filter is broadcast, and each text is
-scored by smoothed probabilities that take all their counts from it.
+level after level until one is missing. Each text is scored by smoothed probabilities
+that take all their counts from the filter.
 
 Texts are cut into blocks of a bounded number of characters. A block sends its
-sorted word hashes, cut by hash range into cells, and gets the corpus counts back in
-the same order; so only a block's distinct words travel, not its words.
+sorted word and pair hashes, cut by hash range into cells, and gets the corpus counts of words
+and the filter's levels of both back in the same order; so only a block's distinct n-grams
+travel, and a cell's part of the filter never leaves its task.
 """
 
 from __future__ import annotations
@@ -67,6 +68,9 @@ class FrequencyFilter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The count of each key by repeated probes; never less than the level it was put in at."""
+        return _MIDDLES[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         level_of = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         cell = cell_of(keys, self.cells).astype(np.int64) * self.width
@@ -79,7 +83,12 @@ class FrequencyFilter:
                 there &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             alive = alive[there]
             level_of[alive] = level
-        return _MIDDLES[level_of]
+        return level_of
+
+
+def filter_bits(tokens: int) -> int:
+    """8 to 16 bits for each training token, at any size."""
+    return 1 << int(np.ceil(np.log2(max(1 << 16, 8 * tokens))))
 
 
 def cell_of(keys: np.ndarray, cells: int) -> np.ndarray:
@@ -136,9 +145,9 @@ def _requests(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.Reco
         for row in batch.to_pylist():
             block = _Block(row)
             text, before, own = block.pairs()
-            train = ~block.held[text]
             words = np.bincount(block.codes, np.repeat(~block.held, np.diff(block.offsets)), len(block.vocabulary)).astype(np.int64)
-            pair, pair_counts = np.unique(pair_keys(before[train], own[train]), return_counts=True)
+            pair, back = np.unique(_clipped(pair_keys(before, own), cells), return_inverse=True)
+            pair_counts = np.bincount(back, ~block.held[text], len(pair)).astype(np.int64)
             out = []
             for kind, keys, counts in ((0, block.vocabulary, words), (1, pair, pair_counts)):
                 at = np.searchsorted(cell_of(keys, cells), np.arange(cells + 1, dtype=np.uint64))
@@ -172,8 +181,8 @@ def _clipped(pairs: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _answer(group: pd.DataFrame, cells: int, width: int) -> pd.DataFrame:
-    """Add up one cell: its part of the filter, and the corpus counts for each block that asked."""
-    out, filled, counted = [], [], []
+    """Add up one cell, fill its part of the filter, and answer each block that asked with counts of words and levels."""
+    asked, distinct = [], 0
     for kind in (0, 1):
         rows = [r for r in group.itertuples(index=False) if r.kind == kind]
         if not rows:
@@ -181,44 +190,56 @@ def _answer(group: pd.DataFrame, cells: int, width: int) -> pd.DataFrame:
         parts = [_unpacked(r, cells) for r in rows]
         keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         total = np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-        known = total > 0
-        filled.append(keys[known] ^ _WORD_SALT if kind == 0 else keys[known])
-        counted.append(total[known])
-        if kind == 0:
-            distinct, at = int(known.sum()), 0
-            for r, (k, _) in zip(rows, parts):
-                part = total[back[at : at + len(k)]]
-                at += len(k)
-                tight = part.astype(np.uint8 if part.max() < 256 else np.uint32 if part.max() < 1 << 32 else np.uint64)
-                out.append((int(r.block), int(r.cell), tight.itemsize, tight.tobytes(), 0))
+        distinct += int((total > 0).sum()) if kind == 0 else 0
+        asked.append((kind, rows, [len(k) for k, _ in parts], keys ^ _WORD_SALT if kind == 0 else keys, total, back))
     cell = int(group["cell"].iloc[0])
-    fill = FrequencyFilter.fill(np.concatenate(filled), np.concatenate(counted), width)
-    out.append((-1, cell, 0, fill.tobytes(), distinct if any(r.kind == 0 for r in group.itertuples(index=False)) else 0))
-    return pd.DataFrame(out, columns=["block", "cell", "width", "data", "known"])
+    bits = FrequencyFilter.fill(np.concatenate([k[t > 0] for _, _, _, k, t, _ in asked]), np.concatenate([t[t > 0] for *_, t, _ in asked]), width)
+    out = [(-1, cell, 0, 0, b"", b"", distinct)]
+    for kind, rows, sizes, keys, total, back in asked:
+        levels, at = FrequencyFilter(bits, 1).levels(keys).astype(np.uint8), 0
+        for r, size in zip(rows, sizes):
+            mine = back[at : at + size]
+            at += size
+            part = total[mine] if kind == 0 else np.zeros(1, np.int64)
+            tight = part.astype(np.uint8 if part.max() < 256 else np.uint32 if part.max() < 1 << 32 else np.uint64)
+            out.append((int(r.block), cell, kind, tight.itemsize, tight.tobytes() if kind == 0 else b"", levels[mine].tobytes(), 0))
+    return pd.DataFrame(out, columns=["block", "cell", "kind", "width", "data", "levels", "known"])
+
+
+_READ = _BLOCK + ", block long, counts binary, words binary, pairs binary"
+
+
+def _read(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """A block with the answers of all cells in the order of its vocabulary and of its pairs."""
+    mine = right.sort_values(["kind", "cell"])
+    words, pairs = mine[mine["kind"] == 0], mine[mine["kind"] == 1]
+    counts = np.concatenate([np.frombuffer(d, f"u{w}").astype(np.int64) for d, w in zip(words["data"], words["width"])] or [np.empty(0, np.int64)])
+    return left.assign(counts=[counts.tobytes()] * len(left), words=[b"".join(words["levels"])] * len(left), pairs=[b"".join(pairs["levels"])] * len(left))
 
 
 class Interpolated:
     """Pair and word probabilities from the filter, interpolated with a weight for each class of context count."""
 
-    def __init__(self, filter_: FrequencyFilter, tokens: int, types: int, ends: int, weights: np.ndarray):
-        self.filter, self.tokens, self.types, self.ends, self.weights = filter_, tokens, types, ends, weights
+    def __init__(self, cells: int, tokens: int, types: int, ends: int, weights: np.ndarray):
+        self.cells, self.tokens, self.types, self.ends, self.weights = cells, tokens, types, ends, weights
+
+    def parts(self, block: _Block, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: its text, the word probability, the pair count and the context count.
 
-    def parts(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its text, the word probability, the pair count and the context count."""
+        ``words`` and ``pairs`` are the filter's levels of the block's vocabulary and of its distinct pairs.
+        """
         text, before, own = block.pairs()
-        cells = self.filter.cells
-        words = self.filter.counts(block.vocabulary ^ _WORD_SALT)
         sizes = np.diff(block.offsets)
         inner = np.ones(len(text), bool)
         last = np.cumsum(sizes + 1) - 1
         inner[last] = False
         count = np.full(len(text), float(self.ends))
-        count[inner] = words[block.codes]
+        count[inner] = _MIDDLES[words][block.codes]
         context = np.empty_like(count)
         context[1:] = count[:-1]
         context[np.concatenate([[0], last[:-1] + 1])] = self.ends
-        pair, back = np.unique(_clipped(pair_keys(before, own), cells), return_inverse=True)
-        return text, (count + 1) / (self.tokens + self.types + 1), self.filter.counts(pair)[back], context
+        _, back = np.unique(_clipped(pair_keys(before, own), self.cells), return_inverse=True)
+        return text, np.minimum(1.0, (count + 1) / (self.tokens + self.types + 1)), _MIDDLES[pairs][back], context
 
     def probabilities(self, single: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
         weight = self.weights[_class(context)]
@@ -242,7 +263,7 @@ def fit_weights(single: np.ndarray, pair: np.ndarray, context: np.ndarray, round
     return weights
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars: int = 1 << 22, most_bits: int = 1 << 29, learn_blocks: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars: int = 1 << 22, learn_blocks: int = 2) -> DataFrame:
     """Base-10 log-probabilities of whole texts under a smoothed pair model of the corpus.
 
     Takes ``docs(doc_id, text, ...)``. Texts whose crc32(doc_id as text) mod ``folds`` is ``held_fold`` are held
@@ -252,9 +273,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars
     texts are their end alone. A null doc_id is learned from. Repeated rows count each time and score alike. An
     empty table gives an empty result.
 
-    The filter has 8 to 16 bits for each training token, but at most ``most_bits``, which bounds what
-    is broadcast: beyond that the rate of false positives rises, and the weights, which are fitted
-    on ``learn_blocks`` blocks with each token left out, take it into account. Words are told apart by 64-bit hashes.
+    The filter has 8 to 16 bits for each training token at any size: it is held by cells, each in one task, and
+    probed there. The weights are fitted on ``learn_blocks`` blocks with each token left out. Words are told apart by
+    64-bit hashes.
     """
     fold = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(folds))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(fold == held_fold, F.lit(False)).alias("held"))
@@ -262,54 +283,43 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars
     blocks = stored(cut, "lm-blocks")
     n_blocks, tokens, ends = blocks.agg(F.count("*"), F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
     cells = 1 << max(4, int(np.ceil(np.log2(max(1, n_blocks) / 2))))
-    bits = min(most_bits, 1 << int(np.ceil(np.log2(max(1 << 16, 8 * tokens)))))
-    width = max(64, bits // cells)
+    width = max(64, filter_bits(tokens) // cells)
     asked = blocks.mapInArrow(lambda it: _requests(it, cells), "cell int, kind int, block long, keys binary, width int, counts binary")
-    answers = stored(
-        asked.repartition(cells, "cell").groupBy("cell").applyInPandas(lambda g: _answer(g, cells, width), "block long, cell int, width int, data binary, known long"), "lm-counts"
-    )
-    array = np.zeros(cells * width // 8, np.uint8)
-    types = int(ends > 0)
-    for row in answers.where("block = -1").select("cell", "data", "known").toLocalIterator():
-        array[row["cell"] * (width // 8) : (row["cell"] + 1) * (width // 8)] = np.frombuffer(row["data"], np.uint8)
-        types += row["known"]
-    shared = docs.sparkSession.sparkContext.broadcast(array)
+    schema = "block long, cell int, kind int, width int, data binary, levels binary, known long"
+    answers = stored(asked.repartition(cells, "cell").groupBy("cell").applyInPandas(lambda g: _answer(g, cells, width), schema), "lm-counts")
+    types = int(ends > 0) + answers.where("block = -1").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     totals = (int(tokens), types, int(ends))
+    read = stored(blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(_read, _READ), "lm-read")
 
-    def model(weights: np.ndarray) -> Interpolated:
-        return Interpolated(FrequencyFilter(shared.value, cells), *totals, weights)
+    def parts(weights: np.ndarray, row: dict) -> tuple[Interpolated, _Block, tuple]:
+        model, block = Interpolated(cells, *totals, weights), _Block(row)
+        return model, block, model.parts(block, np.frombuffer(row["words"], np.uint8), np.frombuffer(row["pairs"], np.uint8))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = _Block(row)
-                text, single, pair, context = model(np.zeros(_CLASSES)).parts(block)
+                _, block, (text, single, pair, context) = parts(np.zeros(_CLASSES), row)
                 train = np.flatnonzero(~block.held[text])[:400_000]
                 yield pa.RecordBatch.from_arrays([pa.array([x[train].astype(np.float32).tobytes()]) for x in (single, pair, context)], names=["single", "pair", "context"])
 
     # numbers of blocks first, so that no block travels to be sorted
     some = [r["block"] for r in blocks.where("train_docs > 0").select("block").orderBy(F.xxhash64("block")).limit(learn_blocks).collect()]
-    seen = blocks.where(F.col("block").isin(some)).mapInArrow(sampled, "single binary, pair binary, context binary").collect()
+    seen = read.where(F.col("block").isin(some)).mapInArrow(sampled, "single binary, pair binary, context binary").collect()
     columns = [np.concatenate([np.frombuffer(r[c], np.float32) for r in seen] or [np.empty(0, np.float32)]).astype(float) for c in ("single", "pair", "context")]
     weights = fit_weights(*columns)
 
-    def scored(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in left.to_dict("records"):
-            block = _Block(row)
-            mine = right.sort_values("cell")
-            counts = np.concatenate([np.frombuffer(d, f"u{w}").astype(np.int64) for d, w in zip(mine["data"], mine["width"])] or [np.empty(0, np.int64)])
-            sizes = np.diff(block.offsets)
-            whole = totals[0] + totals[1] + 1
-            text_of = np.repeat(np.arange(len(sizes)), sizes)
-            logs = np.log10((counts + 1) / whole)
-            base = np.bincount(text_of, logs[block.codes], len(sizes)) + np.log10((totals[2] + 1) / whole)
-            known = np.bincount(text_of, counts[block.codes] > 0, len(sizes)).astype(np.int64) + int(totals[2] > 0)
-            text, single, pair, context = (m := model(weights)).parts(block)
-            score = np.bincount(text, np.log10(m.probabilities(single, pair, context)), len(sizes))
-            ids = pd.Series(block.ids, dtype="Int64").mask(block.nulls)
-            out.append(pd.DataFrame({"doc_id": ids, "held_out": block.held, "n_tokens": sizes + 1, "n_known": known, "train_tokens": totals[0], "base_score": base, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(scored, schema)
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = totals[0] + totals[1] + 1
+        for batch in batches:
+            for row in batch.to_pylist():
+                model, block, (text, single, pair, context) = parts(weights, row)
+                counts, sizes = np.frombuffer(row["counts"], np.int64), np.diff(block.offsets)
+                text_of = np.repeat(np.arange(len(sizes)), sizes)
+                logs = np.log10((counts + 1) / whole)
+                base = np.bincount(text_of, logs[block.codes], len(sizes)) + np.log10((totals[2] + 1) / whole)
+                known = np.bincount(text_of, counts[block.codes] > 0, len(sizes)).astype(np.int64) + int(totals[2] > 0)
+                score = np.bincount(text, np.log10(model.probabilities(single, pair, context)), len(sizes))
+                columns = [pa.array(block.ids, mask=block.nulls), pa.array(block.held), pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(sizes), totals[0], np.int64)), pa.array(base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return read.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -120,6 +120,17 @@ def test_language_model_odd(spark):
     assert lm.score_texts(odd(spark).where("false")).count() == 0
 
 
+def test_filter_grows_and_stays_in_cells(spark, sf, monkeypatch):
+    for tokens in (10**4, 10**8, 10**11):
+        assert 8 * tokens <= lm.filter_bits(tokens) <= max(1 << 16, 16 * tokens)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    junk = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(50))) for i in range(10**6, 10**6 + 60)], "doc_id long, text string")
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: (_ for _ in ()).throw(AssertionError("broadcast of a filter that grows")))
+    out = [r for r in lm.score_texts(docs.union(junk), block_chars=1 << 14).collect() if r["held_out"]]
+    mean = lambda rows: sum(r["score"] / r["n_tokens"] for r in rows) / len(rows)
+    assert mean([r for r in out if r["doc_id"] >= 10**6]) < mean([r for r in out if r["doc_id"] < 10**6]) - 0.5
+
+
 def test_filter_counts():
     r = np.random.default_rng(4)
     keys, counts = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64)), None
