@@ -26,6 +26,9 @@ from brindle.llm._words import _GOLDEN, Words, chunks, mix
 
 _PROBES = 3
 _CLASSES = 24
+# a class's tokens by the ratio of left-out pair to word probability: 32 bins for each doubling, and one for no pair
+_PER_DOUBLING, _DOUBLINGS = 32, 64
+_BINS = 2 * _PER_DOUBLING * _DOUBLINGS + 2
 # the salt of words leaves the top bits as they are: they name the cell
 _WORD_SALT, _PAIR_SALT = np.uint64(0x4C957F2D), np.uint64(0x14057B7EF767814F)
 _END = np.uint64(0x2545F4914F6CDD1D)
@@ -250,20 +253,31 @@ def _class(context: np.ndarray) -> np.ndarray:
     return np.where(context < 1, 0, np.minimum(_CLASSES - 1, 1 + np.log2(np.maximum(context, 1)).astype(np.int64)))
 
 
-def fit_weights(single: np.ndarray, pair: np.ndarray, context: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Weights by expectation maximisation on training tokens, each left out of its own counts."""
+def ratio_bins(single: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Of training tokens, each left out of its own counts: the class, and in it the bin of pair to word probability."""
     rest = np.clip((pair - 1) / np.maximum(context - 1, 1), 0, 1)
-    cls, weights = _class(context), np.full(_CLASSES, 0.3)
-    total = np.bincount(cls, minlength=_CLASSES)
+    some = rest > 0
+    bins = np.zeros(len(rest), np.int64)
+    place = np.rint(np.log2(rest[some] / single[some]) * _PER_DOUBLING).astype(np.int64)
+    bins[some] = 1 + np.clip(place + _PER_DOUBLING * _DOUBLINGS, 0, _BINS - 2)
+    return _class(context) * _BINS + bins
+
+
+def fit_weights(bins: np.ndarray, tokens: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Weights by expectation maximisation from numbers of tokens by ``ratio_bins``: a token's share depends on its ratio only."""
+    cls, place = bins // _BINS, bins % _BINS
+    ratio = np.where(place > 0, 2.0 ** ((place - 1) / _PER_DOUBLING - _DOUBLINGS), 0.0)
+    weights = np.full(_CLASSES, 0.3)
+    total = np.bincount(cls, tokens, _CLASSES)
     for _ in range(rounds):
         w = weights[cls]
-        share = w * rest / ((1 - w) * single + w * rest)
-        weights = (np.bincount(cls, share, _CLASSES) + 0.1) / (total + 10)
+        share = w * ratio / ((1 - w) + w * ratio)
+        weights = (np.bincount(cls, share * tokens, _CLASSES) + 0.1) / (total + 10)
     weights[0] = 0.0
     return weights
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars: int = 1 << 22, learn_blocks: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars: int = 1 << 22) -> DataFrame:
     """Base-10 log-probabilities of whole texts under a smoothed pair model of the corpus.
 
     Takes ``docs(doc_id, text, ...)``. Texts whose crc32(doc_id as text) mod ``folds`` is ``held_fold`` are held
@@ -274,8 +288,8 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars
     empty table gives an empty result.
 
     The filter has 8 to 16 bits for each training token at any size: it is held by cells, each in one task, and
-    probed there. The weights are fitted on ``learn_blocks`` blocks with each token left out. Words are told apart by
-    64-bit hashes.
+    probed there. The weights are fitted on all training tokens, each left out of its own counts, whose ratios of pair
+    to word probability are counted in bins of 2 %. Words are told apart by 64-bit hashes.
     """
     fold = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(folds))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(fold == held_fold, F.lit(False)).alias("held"))
@@ -295,18 +309,18 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, block_chars
         model, block = Interpolated(cells, *totals, weights), _Block(row)
         return model, block, model.parts(block, np.frombuffer(row["words"], np.uint8), np.frombuffer(row["pairs"], np.uint8))
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_CLASSES * _BINS, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
                 _, block, (text, single, pair, context) = parts(np.zeros(_CLASSES), row)
-                train = np.flatnonzero(~block.held[text])[:400_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[train].astype(np.float32).tobytes()]) for x in (single, pair, context)], names=["single", "pair", "context"])
-
-    # numbers of blocks first, so that no block travels to be sorted
-    some = [r["block"] for r in blocks.where("train_docs > 0").select("block").orderBy(F.xxhash64("block")).limit(learn_blocks).collect()]
-    seen = read.where(F.col("block").isin(some)).mapInArrow(sampled, "single binary, pair binary, context binary").collect()
-    columns = [np.concatenate([np.frombuffer(r[c], np.float32) for r in seen] or [np.empty(0, np.float32)]).astype(float) for c in ("single", "pair", "context")]
-    weights = fit_weights(*columns)
+                train = ~block.held[text]
+                total += np.bincount(ratio_bins(single[train], pair[train], context[train]), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bin", "n"])
+
+    seen = read.mapInArrow(binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    weights = fit_weights(np.array([r["bin"] for r in seen], np.int64), np.array([r["n"] for r in seen], float))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = totals[0] + totals[1] + 1

@@ -131,6 +131,27 @@ def test_filter_grows_and_stays_in_cells(spark, sf, monkeypatch):
     assert mean([r for r in out if r["doc_id"] >= 10**6]) < mean([r for r in out if r["doc_id"] < 10**6]) - 0.5
 
 
+def test_weights_come_from_all_blocks(spark):
+    # a sixth of the texts has words in order, all others in none; few blocks can hold no such mixture
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in ((np.arange(200) + r.integers(300)) % 300 if i < 20 else r.integers(0, 300, 200)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    one, many = ({x["doc_id"]: x["score"] for x in lm.score_texts(docs, block_chars=size).collect()} for size in (1 << 22, 1 << 14))
+    assert all(math.isclose(one[d], many[d], rel_tol=0.01) for d in one)
+
+
+def test_binned_weights_are_those_of_the_tokens():
+    r = np.random.default_rng(9)
+    single, pair, context = r.random(5000) / 100 + 1e-6, r.integers(1, 40, 5000).astype(float), r.integers(1, 4000, 5000).astype(float)
+    rest, cls, weights = np.clip((pair - 1) / np.maximum(context - 1, 1), 0, 1), lm._class(context), np.full(24, 0.3)
+    for _ in range(25):
+        w = weights[cls]
+        share = w * rest / ((1 - w) * single + w * rest)
+        weights = (np.bincount(cls, share, 24) + 0.1) / (np.bincount(cls, minlength=24) + 10)
+    bins, tokens = np.unique(lm.ratio_bins(single, pair, context), return_counts=True)
+    assert np.abs(lm.fit_weights(bins, tokens)[1:] - weights[1:]).max() < 0.005
+
+
 def test_filter_counts():
     r = np.random.default_rng(4)
     keys, counts = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64)), None
