@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._store import drawn, stored
+from brindle.llm._store import stored
 from brindle.llm._words import _LOWER, chunks
 
 _CELLS = 1 << 16
@@ -81,26 +81,44 @@ def _smoothed(count: Column, total: Column, back: Column, weight: float) -> Colu
     return (F.coalesce(count, F.lit(0)) + weight * back) / (F.coalesce(total, F.lit(0)) + weight)
 
 
+def _sample(marked: DataFrame, languages: dict[str, int], rows: int) -> DataFrame:
+    """At most ``rows`` rows (key, text, lang) of each language, the least by a hash of the row.
+
+    A bound on the hash for each language leaves about twice as many to be sorted, however large the table.
+    """
+    draw = F.pmod(F.xxhash64("key", "text", "lang"), F.lit(1 << 30))
+    bounds = [(x, int(min(1.0, 2 * rows / n) * (1 << 30))) for x, n in languages.items()]
+    bound = F.broadcast(marked.sparkSession.createDataFrame(bounds, "lang string, _bound long"))
+    near = marked.join(bound, "lang").where(draw < F.col("_bound"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "key", "text"))
+    return near.withColumn("_place", place).where(F.col("_place") <= rows).select("key", "text", "lang")
+
+
 def _trained(docs: DataFrame, key: str, text: str, declared: str, learn_rows: int, most_languages: int) -> TextModel:
-    marked = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(declared).alias("lang"))
-    rows = stored(drawn(marked, learn_rows, "key", "text", "lang"), "lid-sample")
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    languages.sort()
-    known = rows.where(F.col("lang").isin(languages)).select("text", "lang").repartition(4)
-    parts = known.mapInArrow(lambda it: _counted(it, languages), "counts binary").collect()
+    marked = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(declared).cast("string").alias("lang"))
+    counted = {r["lang"]: r["count"] for r in marked.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counted) > most_languages:
+        raise ValueError(f"more than {most_languages} declared languages")
+    languages = sorted(counted)
+    if not languages:
+        return TextModel([], np.zeros((0, _CELLS), np.int64))
+    known = stored(_sample(marked, counted, learn_rows).select("text", "lang"), "lid-sample")
+    parts = known.repartition(4).mapInArrow(lambda it: _counted(it, languages), "counts binary").collect()
     counts = sum((np.frombuffer(p["counts"], np.int32).reshape(len(languages), _CELLS).astype(np.int64) for p in parts), np.zeros((len(languages), _CELLS), np.int64))
     return TextModel(languages, counts)
 
 
 def identify_languages(
     docs: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str | None = "source", domain: str | None = None, suffix: str | None = None,
-    accept: tuple[str, ...] | None = None, least: float = 0.6, learn_rows: int = 4000, most_languages: int = 64, most_trigrams: int = 60, weight: float = 20.0,
+    accept: tuple[str, ...] | None = None, least: float = 0.6, learn_rows: int = 4000, most_languages: int = 256, most_trigrams: int = 60, weight: float = 20.0,
 ) -> DataFrame:
     """The language of each document, with its posterior probability.
 
     ``declared`` is the column with the language that the markup declares; ``host``, ``domain`` and
-    ``suffix`` are columns or None. The text model is fitted on at most ``learn_rows`` rows, the least by a
-    hash of the row; all counts of hosts, suffixes and declarations are over all rows.
+    ``suffix`` are columns or None. The languages are all values declared beside a text in any row; the text model is
+    fitted on at most ``learn_rows`` rows of each, the least by a hash of the row. As a table of 256 kB a language is
+    sent to each task, more than ``most_languages`` values are an error and none is left out. All counts of hosts,
+    suffixes and declarations are over all rows.
 
     Returns a row for each input row: the key, n_trigrams, text_lang (by text alone), pred_lang,
     posterior, accepted (posterior at least ``least``, some letters, and among ``accept`` if given).

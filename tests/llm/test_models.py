@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from brindle.llm import language_model as lm
 from brindle.llm.language import identify_languages
@@ -92,6 +93,20 @@ def test_languages_odd(spark, sf):
     assert identify_languages(odd(spark).where("false")).count() == 0
 
 
+def test_rare_and_many_languages(spark):
+    # one language of few texts among many, and 80 declared values
+    r = np.random.default_rng(6)
+    tongue = lambda i, n: " ".join("".join(chr(97 + (i * 7 + x * (1 + i % 5)) % 26) for x in r.integers(0, 6, 6)) for _ in range(n))
+    rows = [(i, tongue(0, 12), "aa", None) for i in range(6000)] + [(7000 + i, tongue(3, 40), "rr", None) for i in range(3)]
+    out = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), learn_rows=100).where("doc_id >= 7000").collect()
+    assert [x["text_lang"] for x in out] == ["rr"] * 3
+    rows = [(100 * i + j, " ".join(chr(0x4E00 + 40 * i + x) * 2 for x in r.integers(0, 30, 40)), f"l{i:02d}", None) for i in range(80) for j in range(3)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert all(x["text_lang"] == f"l{x['doc_id'] // 100:02d}" for x in identify_languages(many).collect())
+    with pytest.raises(ValueError):
+        identify_languages(many, most_languages=79)
+
+
 def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
