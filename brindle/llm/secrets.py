@@ -1,6 +1,7 @@
 """Secret scans: candidate strings judged by a random forest, in SQL functions only.
 
-Long mixed runs of token characters are candidates. A forest of decision trees,
+Long mixed runs of token characters are candidates, and so are values of six or more characters that
+are assigned to or quoted after a word such as password or key, and passwords in addresses. A forest of decision trees,
 trained from labelled findings, tells keys and tokens from identifiers, numbers,
 digests, paths and placeholders. It looks at a candidate's length, its character
 transitions, how much of it a small dictionary covers, its path and the words
@@ -19,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUN = "A-Za-z0-9_+/\\-"
-CANDIDATE = f"(?<![{_RUN}])(?=[A-Za-z_+/\\-]*[0-9])[{_RUN}]{{16,}}={{0,2}}"
 MASK = "[SECRET]"
 FRAGMENTS = (
     "access account address alpha api app article assets auth base beta blog build cache card category cdn channel client cloud code com commit config content "
@@ -32,10 +32,17 @@ FRAGMENTS = (
     "update upload user value version video view web word work write xml your"
 ).split()
 HOLDERS = "token|secret|passw(?:or)?d|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|client.?key|key"
+# the sign before a value is looked at first: it is cheap, and few places have one
+_NAME, _SIGN = f"(?i:{HOLDERS})[\\w\\-]{{0,16}}[\"']?\\]?", "\\s{0,3}(?::=|=>|==|[:=])\\s{0,3}"
+_QUOTED = f"(?<=[\"'`])(?<={_NAME}(?:{_SIGN}|\\s{{1,3}}|\\s{{1,3}}is\\s{{1,3}})[\"'`])[^\\s\"'`]{{6,}}(?=[\"'`])"
+_BARE = f"(?<=[:=>\\s])(?<=[:=>]\\s{{0,3}})(?<={_NAME}{_SIGN})(?![:=>])(?:(?!&\\w+=)[^\\s\"'`,;<>(){{}}\\[\\]]){{5,}}(?<=[^\\s.,:;!?])"
+_USER = "(?<=:)(?<=://[^\\s:/@]{1,64}:)[^\\s@/]{6,}(?=@)"
+CANDIDATE = f"(?:{_QUOTED}|{_BARE}|{_USER}|(?<![{_RUN}])(?=[A-Za-z_+/\\-]*[0-9])[{_RUN}]{{16,}}={{0,2}})"
 OTHERS = "sha-?(?:1|256|512)|md5|checksum|digest|hash|commit|revision|etag|uuid|guid|card|order|invoice|phone|tel|isbn|tracking|serial|version|build|id|ref|page|doi"
 FEATURES = (
     "length", "transitions", "distinct", "digits", "uppers", "punctuation", "hexadecimal", "numeric", "dictionary",
     "in_path", "path_names", "placeholder", "holder_near", "holder_at", "other_at", "assigned", "quoted",
+    "signs", "user_at", "called",
 )
 
 
@@ -62,6 +69,9 @@ def features(token: Column, before: Column, after: Column, path: Column) -> Colu
         "holder_at": flag(near.rlike(f"(?:{HOLDERS})[\\w\\-]*[\"']?\\s*(?:[:=]+|=>|is)?\\s*[\"'`]?$")),
         "other_at": flag(near.rlike(f"\\b(?:{OTHERS})[\"']?\\s*(?:[:=#.]|no|nr|is)*\\s*[\"'`(]?$")),
         "assigned": flag(before.rlike("[:=]\\s*[\"'`]?$")),
+        "signs": rate("[^A-Za-z0-9_+/=\\-]"),
+        "user_at": flag(before.rlike("://[^\\s:/@]+:$") & after.rlike("^@")),
+        "called": flag(after.rlike("^[(\\[{]") | token.rlike("^[$%]?[A-Za-z_]+(?:\\.[A-Za-z_]+)+$|://")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
     }
     return F.struct(*(made[f].cast("double").alias(f) for f in FEATURES))
@@ -118,6 +128,53 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
             quote = r.choice(['"', "", ""])
             before = f"{lead} {r.choice(others)}{r.choice([' ', ': ', ' = ', ' #'])}{quote}" if named else f"{lead} {r.choice(['', 'https://a.example/', '/', '('])}"
             out.append((before, sure(innocent()), f"{quote if named else ''} {tail}", path, 0))
+    return out + assigned_findings(n // 2, r)
+
+
+def assigned_findings(n: int, r: random.Random) -> list[tuple[str, str, str, str, int]]:
+    """Values after a holder's name: passwords of any length and signs, and the words, names and calls that stand there."""
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda chars, k: "".join(r.choices(chars, k=k))
+    word = lambda: r.choice(FRAGMENTS)
+    holders = ["password", "passwd", "pwd", "secret", "api_key", "db_password", "token", "auth_token", "client_secret", "PASSWORD", "Password"]
+
+    def password() -> str:
+        kind = r.random()
+        if kind < 0.3:
+            return pick(lower + upper + digit, r.randint(7, 15))
+        if kind < 0.6:
+            return pick(lower + upper, r.randint(1, 4)) + r.choice(".!@:$#%^*?~") + pick(lower + upper + digit + ".!@$#%^*?", r.randint(4, 12))
+        if kind < 0.8:
+            return pick(upper, 1) + pick(lower, r.randint(1, 4)) + pick(digit, r.randint(1, 3)) + pick(lower + digit, r.randint(2, 6)) + r.choice(["", "!", "$"])
+        return pick(lower + upper, r.randint(16, 40))
+
+    def plain() -> tuple[str, str]:
+        kind = r.randrange(6)
+        if kind == 0:
+            return pick(lower, r.randint(6, 12)), ""
+        if kind == 1:
+            return word() + r.choice(["", "s", "_", "-"]) + word(), ""
+        if kind == 2:
+            return ".".join([word(), word(), *([word()] if r.random() < 0.5 else [])]), r.choice(["", "(", "["])
+        if kind == 3:
+            return r.choice(["********", "xxxxxxxx", "changeme-example", "your-password", "example", "placeholder", "00000000", "$PASSWORD", "%PASSWORD%"]), ""
+        if kind == 4:
+            return "https://" + pick(lower, 6) + "." + word() + "/" + word(), ""
+        return r.choice(["required", "optional", "undefined", "invalid", "missing", "expired", "string", "getpass", "Required", "None/null", "disabled", "default"]), ""
+
+    out = []
+    for _ in range(n):
+        lead, path = " ".join(pick(lower, r.randint(2, 9)) for _ in range(r.randint(0, 6))), r.choice(["src/app.py", "conf/prod.yml", "", "", ""])
+        quote, name = r.choice(['"', '"', "'", ""]), r.choice(holders)
+        before = f"{lead} {name}{r.choice([' = ', '=', ': ', ':'])}{quote}"
+        if r.random() < 0.15:
+            secret = r.random() < 0.8
+            out.append((f"{lead} {r.choice(['postgres', 'https', 'mysql', 'ftp'])}://{pick(lower, 5)}:", password() if secret else "password", f"@{pick(lower, 6)}.example/", path, int(secret)))
+        elif r.random() < 0.5:
+            out.append((before, password(), f"{quote} {word()}", path, 1))
+        else:
+            value, after = plain()
+            out.append((before, value, after or f"{quote} {word()}", path, 0))
     return out
 
 
@@ -186,7 +243,7 @@ def scan_secrets(docs: DataFrame, path: str | None = None, cut: float = 0.5, for
     """
     forest = forest or train_forest(docs.sparkSession)
     text, none = F.coalesce("text", F.lit("")), F.array().cast("array<string>")
-    some = text.rlike("[0-9]")
+    some = text.rlike("[0-9:=\"'`]")  # no candidate is without one of these
     out = docs.withColumn("_tokens", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
     found = F.size("_tokens") > 0
     out = out.withColumn("_between", F.when(found, F.split(text, CANDIDATE, -1)).otherwise(none))

@@ -109,6 +109,14 @@ def test_secrets_odd(spark):
     assert scan_secrets(df.where("false")).count() == 0
 
 
+def test_short_and_odd_secrets(spark):
+    secrets = [('password = "{}"', "Tr0ub4dor3"), ("pwd: {}", "aB3.x!9@kQ"), ("api_key='{}'", "qWfPbJlUyZxCvKmTrSdH"), ("see postgres://admin:{}@db.example/x", "s3cr$tPw!7"), ('secret is "{}"', "kX9$wq2L")]
+    plain = ["password: required", "token = config.value", "the password field is here", 'key: "default"', "secret = getpass()", "auth: https://docs.example/login", "no digits: at all"]
+    rows = [(i, t.format(v), t.format("[SECRET]")) for i, (t, v) in enumerate(secrets)] + [(10 + i, t, t) for i, t in enumerate(plain)]
+    got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()
+    assert [(r["doc_id"], r["redacted"]) for r in got] == [(r["doc_id"], r["want"]) for r in got]
+
+
 def test_budget():
     assert targets([("a", 100), ("b", 100), (None, 100)], (5, 2, 1), 1.5, 2.0) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     lengths, counts = [3, 7, 50, 901], [5, 3, 40, 12]
