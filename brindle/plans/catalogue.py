@@ -307,6 +307,11 @@ def query_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.query_tokens(F.substring("text", 1, 60)), " ").alias("words"))
 
 
+@query("SELECT doc_id, list_filter(" + _tokens_sql("text") + ", lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")).array_to_string(' ') AS words FROM documents")
+def query_words_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.query_tokens("text"), " ").alias("words"))
+
+
 # ---- addresses and links ------------------------------------------------------------------------
 
 _PARTS_SQL = """SELECT page_id, regexp_extract(url, '^([^/]+):/+', 1) AS scheme, regexp_extract(url, '^[^/]+//([^/]+)', 1) AS host,

@@ -34,3 +34,9 @@ def test_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_query_words_of_the_whole_text(spark, sf):
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    long = [r for r in QUERIES["query_words_whole"](spark, sf).collect() if len(text[r["doc_id"]] or "") > 2000]
+    assert long and all(len(r["words"]) > 60 for r in long)
