@@ -24,6 +24,12 @@ def tfidf(postings: DataFrame, stats: DataFrame, words: list[str], limit: int |
     return out if limit is None else out.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
+def capped(postings: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
+    """Of each term's postings at most ``cap``, those least by a hash of their document."""
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return postings.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+
+
 def search(postings: DataFrame, docs: DataFrame, words: list[str], n_docs: int | None = None, stems: bool = True, cap: int | None = POSTING_CAP, limit: int | None = RESULT_CAP) -> DataFrame:
     """(doc_id, score) of the serving ranker over ``docs(doc_id, url)``.
 
@@ -43,7 +49,7 @@ def search(postings: DataFrame, docs: DataFrame, words: list[str], n_docs: int |
     plan = F.broadcast(docs.sparkSession.createDataFrame(steps, "ord int, term string, word string, boost double"))
     hits = postings.where(F.col("term").isin(*{s[1] for s in steps}))
     if cap is not None:
-        hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("place") <= cap)
+        hits = capped(hits, cap)
     sizes = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("n")))
     found = hits.join(sizes, "term").join(plan, "term").join(docs.select("doc_id", F.lower("url").alias("url")), "doc_id")
     weight = (1 + F.log10("tf")) * F.log10(F.lit(float(max(n_docs, 1))) / F.col("n"))

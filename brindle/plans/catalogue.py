@@ -239,6 +239,15 @@ def kv_bulk_upsert(spark, d):
     return keyed.upsert(keyed.latest(_log(spark, d)).select("row_key", "col", "value", "seq"), new).select("row_key", "col", "value")
 
 
+@query(_LOG_SQL + """
+SELECT coalesce(n.row_key, c.row_key) AS row_key, coalesce(n.col, c.col) AS col, coalesce(n.value, c.value) AS value
+FROM cells c FULL OUTER JOIN (SELECT CAST(c_custkey AS VARCHAR) AS row_key, 'click' AS col, c_name AS value FROM customer) n ON c.row_key = n.row_key AND c.col = n.col
+""")
+def kv_bulk_upsert_whole(spark, d):
+    new = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("row_key"), F.lit("click").alias("col"), F.col("c_name").alias("value"), F.lit(1).cast("long").alias("seq"))
+    return keyed.upsert(keyed.latest(_log(spark, d)).select("row_key", "col", "value", "seq"), new).select("row_key", "col", "value")
+
+
 # ---- text ---------------------------------------------------------------------------------------
 
 
@@ -508,6 +517,17 @@ def harmonic_merge(spark, d):
     return rank.harmonic_merge(scores, ranks).withColumn("score", F.round("score", 6))
 
 
+@query("""
+WITH s AS (SELECT url, CAST(length(html) AS DOUBLE) AS t FROM pages), r AS (SELECT url, 0.15 + page_id % 7 AS p FROM pages)
+SELECT url, round(2 * p * t / (p + t), 6) AS score FROM s JOIN r USING (url)
+""")
+def harmonic_merge_whole(spark, d):
+    pages = table(spark, d, "pages")
+    scores = pages.select("url", F.length("html").cast("double").alias("score"))
+    ranks = pages.select("url", (F.lit(0.15).cast("double") + F.col("page_id") % 7).alias("rank"))
+    return rank.harmonic_merge(scores, ranks).withColumn("score", F.round("score", 6))
+
+
 @query(_POSITIONS + """, w AS (SELECT doc_id, term, list(p) AS ps FROM pos WHERE term IN ('of', 'the', 'and') GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS n, CASE term WHEN 'of' THEN 0 WHEN 'the' THEN 1 ELSE 2 END AS q FROM w GROUP BY 1),
 o AS (SELECT term, q, row_number() OVER (ORDER BY n, q) AS r FROM df),
@@ -549,6 +569,11 @@ def posting_cap(spark, d):
     return _postings(spark, d).withColumn("place", place).where("place <= 20").groupBy("term").agg(F.count("*").alias("n"))
 
 
+@query(_TOKENS + f", tf AS (SELECT term, doc_id FROM toks GROUP BY 1, 2) SELECT term, least(count(*), {rank.POSTING_CAP}) AS n FROM tf GROUP BY 1")
+def posting_cap_whole(spark, d):
+    return rank.capped(_postings(spark, d)).groupBy("term").agg(F.count("*").alias("n"))
+
+
 # ---- graphs -------------------------------------------------------------------------------------
 
 _GRAPH_SQL = """WITH j AS (SELECT 'c' || o_custkey AS c, 's' || l_suppkey AS s, l_returnflag AS f, l_quantity AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey),

@@ -5,7 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from brindle.operators import rank
 from brindle.plans.catalogue import ORACLE, QUERIES
 
 
@@ -40,3 +42,15 @@ def test_query_words_of_the_whole_text(spark, sf):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     long = [r for r in QUERIES["query_words_whole"](spark, sf).collect() if len(text[r["doc_id"]] or "") > 2000]
     assert long and all(len(r["words"]) > 60 for r in long)
+
+
+def test_whole_upsert_and_merge(spark, sf):
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select("c_name")
+    assert customers.join(QUERIES["kv_bulk_upsert_whole"](spark, sf), customers["c_name"] == F.col("value"), "left_anti").isEmpty()
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("url")
+    assert pages.join(QUERIES["harmonic_merge_whole"](spark, sf), "url", "left_anti").isEmpty()
+
+
+def test_posting_cap_is_the_operators(spark):
+    postings = spark.range(rank.POSTING_CAP + 7).select(F.col("id").alias("doc_id"), F.lit("w").alias("term"), F.lit(1).alias("tf"))
+    assert rank.capped(postings).count() == rank.POSTING_CAP and rank.capped(postings, 20).count() == 20
