@@ -8,6 +8,7 @@ machine) is a folder of our own made and entered into the session.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ _written: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {_KEY} to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set(_KEY, where)
     return where.rstrip("/")
@@ -56,7 +59,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path:
+            remove(df.sparkSession, path)
+            for paths in _written.values():
+                if path in paths:
+                    paths.remove(path)
 
 
 def drawn(df: DataFrame, rows: int, *by: str) -> DataFrame:

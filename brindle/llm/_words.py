@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,3 +100,44 @@ def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
             begin, total = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows with about ``most`` bytes of text, and their texts: only one range is ever turned into a list."""
+    text = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(text):
+        done = int(ends[begin - 1]) if begin else 0
+        end = min(len(text), int(np.searchsorted(ends, done + most)) + 1)
+        yield begin, end, text.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows again, cut only between groups of the first ``keys`` columns, with the bounds of the groups in each batch."""
+    held: list[pa.RecordBatch] = []
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        named = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        return np.flatnonzero(np.any([x[1:] != x[:-1] for x in named], axis=0)) + 1
+
+    def out() -> tuple[pa.RecordBatch, np.ndarray]:
+        whole = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return whole, np.concatenate([[0], changes(whole), [whole.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(keys)):
+            yield out()
+            held = []
+        cuts = changes(batch)
+        if len(cuts):
+            last = int(cuts[-1])
+            held.append(batch.slice(0, last))
+            yield out()
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield out()

@@ -56,37 +56,72 @@ def test_tables(spark, sf):
     assert got == brute(rows, 2)
 
 
-def test_family_of_copies(spark):
-    r = random.Random(3)
+def grouped(spark, rows, **how):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(df, **how).collect()}
+
+
+def family(n, least, most, seed):
+    r = random.Random(seed)
     words = [f"w{i}" for i in range(120)]
     rows = []
-    for i in range(150):
+    for i in range(n):
         own = list(words)
-        for _ in range(r.choice([0, 1, 2, 4, 8])):
-            own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+        for at in r.sample(range(120), r.randint(least, most)):
+            own[at] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(own)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(df, shingle=2).collect()}
-    want = brute(rows, 2)
-    assert sum(got[d] != want[d] for d in want) <= 1
+    return rows
+
+
+@pytest.mark.parametrize("least, most, how", [(0, 9, {}), (5, 10, {"block": 40}), (3, 8, {"elements": 3000})])
+def test_family_of_copies(spark, least, most, how):
+    rows = family(400, least, most, 3)
+    assert grouped(spark, rows, shingle=2, **how) == brute(rows, 2)
 
 
 def test_links_between_members_that_lead_nothing(spark):
     # all share a core at 0.78; only the two of a pair reach 0.8, and mostly meet in buckets with half of all rows
     core = [f"c{i}" for i in range(142)]
     rows = [(2 * p + m, " ".join([*core, f"t{p}a", f"t{p}b", *(f"o{p}x{m}x{i}" for i in range(18))])) for p in range(80) for m in range(2)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(df, shingle=1).collect()}
-    assert got == brute(rows, 1)
+    for how in ({}, {"block": 16}):
+        assert grouped(spark, rows, shingle=1, **how) == brute(rows, 1)
 
 
-def test_blocks_meet_in_all_pairs(spark):
+@pytest.mark.parametrize("exact", [True, False])
+def test_blocks_meet_across_roots(spark, exact):
     from brindle.llm.near_dedup import _across
 
-    rows = [(7, i, 10, 0 if i < 9 else i, [0] * 15) for i in range(14)]
-    placed = spark.createDataFrame(rows, "key long, rep long, n long, root long, slots array<long>")
-    got = {(r["a"], r["b"]) for r in _across(placed.drop("slots"), placed.select("rep", "slots"), 240, 80, block=3).collect()}
-    assert got == {(i, j) for i in range(14) for j in range(max(i + 1, 9), 14)}
+    rows = [(7, i, 1, 0 if i < 9 else i, [5] * (1 if exact else 15)) for i in range(14)]
+    placed = spark.createDataFrame(rows, "key long, cid long, n long, root long, values array<long>")
+    got = [(r["a"], r["b"]) for r in _across(placed, 80, exact, block=3).collect()]
+    root = {i: 0 if i < 9 else i for i in range(14)}
+    for a, b in got:
+        root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+    assert set(root.values()) == {0}
+    assert len(got) <= 5 * 5  # five members outside the largest root, five blocks
+
+
+def test_repeated_ids_link_nothing(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join(w + "z" for w in words)
+    rows = [(5, a), (5, b), (3, a + " more"), (9, b + " more"), (5, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect())
+    assert got == [(3, 37, 3, True), (5, 36, 3, False), (5, 36, 5, True), (5, 36, 5, True), (9, 37, 5, False)]
+
+
+def test_groups_of_any_size_stay_whole():
+    import pyarrow as pa
+
+    from brindle.llm._words import whole_groups
+
+    keys = np.repeat(np.arange(9), [1, 2, 30, 1, 1, 12, 3, 3, 1])
+    table = pa.table({"k": keys, "v": np.arange(len(keys))})
+    for size in (1, 4, 7, 100):
+        got = list(whole_groups(iter(table.to_batches(max_chunksize=size)), 1))
+        assert [x for t, _ in got for x in t.column("v").to_pylist()] == list(range(len(keys)))
+        groups = [tuple(t.column("k")[a:b].to_pylist()) for t, at in got for a, b in zip(at[:-1], at[1:])]
+        assert groups == [(k,) * int((keys == k).sum()) for k in range(9)]
 
 
 def test_odd_rows(spark):
