@@ -11,9 +11,13 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _KEY = "spark.checkpoint.dir"
 _written: dict[str, list[str]] = {}
@@ -75,6 +79,14 @@ def released(*tables: DataFrame) -> None:
                     paths.remove(path)
 
 
+def small(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, sent to the JVM as Arrow so that no Python worker starts for it."""
+    kind = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    columns = [pa.array([r[i] for r in rows], field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), kind)
+
+
 def drawn(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """At most ``rows`` rows, the least by a hash of ``by``.
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._store import stored
-from brindle.llm._words import _LOWER, chunks
+from brindle.llm._store import small, stored
+from brindle.llm._words import _LOWER, slices
 
 _CELLS = 1 << 16
 _NOISE = np.ones(256, bool)
@@ -48,9 +48,9 @@ def _counted(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterato
     total = np.zeros((len(languages), _CELLS), np.int64)
     index = {x: i for i, x in enumerate(languages)}
     for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in chunks(texts):
-            cells, at = _trigrams(texts[a:b])
+        langs = batch.column(1).to_pylist()
+        for a, b, texts in slices(batch, 0):
+            cells, at = _trigrams(texts)
             which = np.repeat([index[x] for x in langs[a:b]], np.diff([*at, len(cells)]))
             real = cells >= 0
             total += np.bincount(which[real] * _CELLS + cells[real], minlength=total.size).reshape(total.shape)
@@ -88,7 +88,7 @@ def _sample(marked: DataFrame, languages: dict[str, int], rows: int) -> DataFram
     """
     draw = F.pmod(F.xxhash64("key", "text", "lang"), F.lit(1 << 30))
     bounds = [(x, int(min(1.0, 2 * rows / n) * (1 << 30))) for x, n in languages.items()]
-    bound = F.broadcast(marked.sparkSession.createDataFrame(bounds, "lang string, _bound long"))
+    bound = F.broadcast(small(marked.sparkSession, bounds, "lang string, _bound long"))
     near = marked.join(bound, "lang").where(draw < F.col("_bound"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "key", "text"))
     return near.withColumn("_place", place).where(F.col("_place") <= rows).select("key", "text", "lang")
@@ -121,31 +121,31 @@ def identify_languages(
     suffixes and declarations are over all rows.
 
     Returns a row for each input row: the key, n_trigrams, text_lang (by text alone), pred_lang,
-    posterior, accepted (posterior at least ``least``, some letters, and among ``accept`` if given).
+    posterior, accepted (posterior at least ``least``, some letters, and among ``accept`` if given), and text_hash, by
+    which rows of a repeated key are told apart.
     Null, empty and letterless texts have null text_lang, rest on the other evidence and are not accepted.
-    Nulls in other columns are no evidence. Rows alike in all these columns are judged alike. An empty table, or one without any declared
+    Nulls in other columns are no evidence. Long texts are read whole. Of languages that tie, the first in order of name is taken. Rows alike in all these columns are judged alike. An empty table, or one without any declared
     language, gives null languages that are not accepted.
     """
     one = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
-    given = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), one(declared).alias("_d"), one(host).alias("_h"), one(domain).alias("_o"), one(suffix).alias("_s"))
+    given = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), one(declared).alias("_d"), one(host).alias("_h"), one(domain).alias("_o"), one(suffix).alias("_s"), F.xxhash64(F.col(text)).alias("_t"))
     model = _trained(docs, key, text, declared, learn_rows, most_languages)
     names = model.languages
     if not names:
         none = F.lit(None).cast("string")
-        return given.select(key, F.lit(0).cast("long").alias("n_trigrams"), none.alias("text_lang"), none.alias("pred_lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
+        return given.select(key, F.lit(0).cast("long").alias("n_trigrams"), none.alias("text_lang"), none.alias("pred_lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"), F.col("_t").alias("text_hash"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            done = [model.logs(texts[a:b], most_trigrams) for a, b in chunks(texts)]
+            done = [model.logs(texts, most_trigrams) for _, _, texts in slices(batch, 1)]
             logs = np.concatenate([x for x, _ in done]) if done else np.zeros((0, len(names)))
             n = np.concatenate([x for _, x in done]) if done else np.zeros(0, np.int64)
             best = pa.array(np.array(names, object)[logs.argmax(axis=1)].tolist() if len(n) else [], pa.string(), mask=n == 0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, logs.size + 1, len(names), dtype=np.int32)), pa.array(logs.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n), best, lists], names=[key, "_d", "_h", "_o", "_s", "n_trigrams", "text_lang", "_logs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n), best, lists], names=[key, "_d", "_h", "_o", "_s", "_t", "n_trigrams", "text_lang", "_logs"])
 
     kind = given.schema[key].dataType.simpleString()
-    seen = stored(given.mapInArrow(read, f"`{key}` {kind}, _d string, _h string, _o string, _s string, n_trigrams long, text_lang string, _logs array<double>"), "lid")
+    seen = stored(given.mapInArrow(read, f"`{key}` {kind}, _d string, _h string, _o string, _s string, _t long, n_trigrams long, text_lang string, _logs array<double>"), "lid")
     told = seen.where("text_lang is not null")
 
     def table(*by: str) -> DataFrame:
@@ -180,4 +180,4 @@ def identify_languages(
     fine = (F.col("posterior") >= least) & (F.col("n_trigrams") > 0)
     if accept is not None:
         fine = fine & F.col("pred_lang").isin(*accept)
-    return out.select(key, "n_trigrams", "text_lang", "pred_lang", "posterior", fine.alias("accepted"))
+    return out.select(key, "n_trigrams", "text_lang", "pred_lang", "posterior", fine.alias("accepted"), F.col("_t").alias("text_hash"))

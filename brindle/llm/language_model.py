@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm._store import stored
-from brindle.llm._words import _GOLDEN, Words, chunks, mix
+from brindle.llm._words import _GOLDEN, Words, mix, slices
 
 _PROBES = 3
 _CLASSES = 24
@@ -105,9 +105,9 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, held) to blocks: ids, held flags, word offsets, codes into the sorted vocabulary, vocabulary."""
     for batch in batches:
-        ids, texts, held = batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), bool)
-        for a, b in chunks(texts, chars):
-            words = Words(texts[a:b])
+        ids, held = batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist(), bool)
+        for a, b, texts in slices(batch, 1, chars):
+            words = Words(texts)
             vocabulary, codes = np.unique(words.hashes(), return_inverse=True)
             sizes = np.diff(words.offsets)
             trained = int((sizes[~held[a:b]] + 1).sum())

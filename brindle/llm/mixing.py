@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._store import stored
+from brindle.llm._store import small, stored
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 _DP_WORDS = 1 << 15
@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         whole = min(math.floor(target / words), math.floor(most)) if words else 0
         rows.append((sid, source, words, float(target), whole, max(0, round(target) - whole * words)))
     spark = docs.sparkSession
-    sources = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, whole int, rest long")
+    sources = small(spark, rows, "sid int, source string, source_size long, target double, whole int, rest long")
     placed = base.join(F.broadcast(sources), base["source"].eqNullSafe(sources["source"])).select(base["doc_id"], base["source"], "sid", "size", "source_size", "target", "whole", "rest")
     hist = placed.where("size > 0 and rest > 0").groupBy("sid", "size", "rest").agg(F.count("*").alias("n"))
     plan = stored(hist.groupBy("sid").applyInPandas(_fit, "sid int, size long, n long, extra long").where("extra > 0"), "plan")

@@ -361,7 +361,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Takes ``docs(doc_id, text, ...)``; other columns are ignored. Returns one row for
     each input row: doc_id, n_shingles, component_id (smallest doc_id reachable over
-    links), kept (it is that smallest) and text_hash (of the text, to tell rows of a repeated doc_id apart).
+    links), kept (it is that smallest), group_hash (least fingerprint of the group) and text_hash; by the last two, groups
+    and rows of a repeated doc_id are told apart.
     With 32 bands of 5 rows, a pair at 0.8 shares no band with probability below 1e-5, and
     has signatures too far apart with probability below 1e-4, before links over third documents.
 
@@ -386,13 +387,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     families = _families(classes, percent, max(_SLOTS, bands * rows))
     roots = components(_linked(families, classes, base.select("doc_id", "text"), shingle, percent, block, elements))
 
-    grouped = roots.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "rep"), "cid")
-    least = grouped.groupBy("root").agg(F.min("rep").alias("least"))
-    found = stored(grouped.join(least, "root").select("cid", "least"), "found")
-    known = classes.select(*same, "cid", "rep").join(found, "cid", "left").select(*same, F.coalesce("least", "rep").alias("known"))
+    grouped = roots.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "rep", "fp1"), "cid")
+    least = grouped.groupBy("root").agg(F.min("rep").alias("least"), F.min("fp1").alias("group"))
+    found = stored(grouped.join(least, "root").select("cid", "least", "group"), "found")
+    known = classes.select(*same, "cid", "rep").join(found, "cid", "left").select(*same, F.coalesce("least", "rep").alias("known"), F.coalesce("group", "fp1").alias("group_hash"))
     out = signed.select("doc_id", "text_hash", *same).join(known, same, "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("known", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "group_hash", "text_hash")
 
 
 def _rooted(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._words import chunks
+from brindle.llm._words import slices
 
 MARK = "▁"
 _UNIGRAM, _BPE = 1, 2
@@ -301,10 +301,9 @@ def _lexicon(blob: bytes) -> Lexicon:
 def _encoded(batches: Iterator[pa.RecordBatch], blob: bytes, with_ids: bool) -> Iterator[pa.RecordBatch]:
     lexicon = _lexicon(blob)
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        for a, b in chunks(texts, 1 << 21):
+        for a, b, texts in slices(batch, batch.schema.get_field_index("text"), 1 << 21):
             n, sums, same, ids = [], [], [], []
-            for text, (own, back) in zip(texts[a:b], lexicon.encode(texts[a:b])):
+            for text, (own, back) in zip(texts, lexicon.encode(texts)):
                 n.append(len(own))
                 sums.append(zlib.crc32(own.astype("<i4").tobytes()))
                 same.append(back == (text or ""))
@@ -341,7 +340,7 @@ def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _lexicon(model).model
         for batch in batches:
-            texts = [own.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            texts = [own.decode(ids.as_py() or []) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(decoded, "doc_id long, text string")

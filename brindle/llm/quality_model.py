@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm._store import drawn, stored
-from brindle.llm._words import Words, chunks
+from brindle.llm._words import Words, slices
 
 FEATURES = (
     "log_words", "word_length", "symbols", "bangs", "pipes", "upper", "digits", "commas",
@@ -169,9 +169,8 @@ def fit(x: np.ndarray, y: np.ndarray, most_bins: int = 48, rounds: int = 120, ra
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for begin, end in chunks(texts):
-            x = text_features(texts[begin:end])
+        for begin, end, texts in slices(batch, 1):
+            x = text_features(texts)
             flat = pa.array(x.ravel())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), flat), batch.column(2).slice(begin, end - begin)],
@@ -186,12 +185,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold
     crc32(doc_id as text) mod ``folds`` is ``held_fold`` are held out of training; of the others at
     most ``learn_rows``, least by a hash of doc_id, are learned from. Only the text is an input of a score.
     Returns a row for each input row: doc_id, held_out, score, predicted. Null and blank texts are
-    scored from zero features. Null labels and null doc_ids teach nothing; a null doc_id is not held
+    scored from zero features. Null labels and null doc_ids teach nothing, of clashing labels the smaller holds; a null doc_id is not held
     out. With labels of one class only, all scores are the smoothed prior. Repeated rows are scored
     alike. An empty table gives an empty result.
     """
     fold = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(folds))
-    marked = labels.where("quality is not null and doc_id is not null").where(fold != held_fold).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    marked = labels.where("quality is not null and doc_id is not null").where(fold != held_fold).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picked = stored(drawn(marked, learn_rows, "doc_id"), "labelled")
     taught = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "quality")
     rows = taught.mapInArrow(_featured, "doc_id long, x array<double>, quality int").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * learn_rows).toPandas()
@@ -199,8 +198,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = [model.score(text_features(texts[a:b])) for a, b in chunks(texts)]
+            out = [model.score(text_features(texts)) for _, _, texts in slices(batch, 1)]
             s = np.concatenate(out) if out else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

@@ -146,7 +146,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, learn_rows: int = 20_000)
 
     Takes ``docs(doc_id, text, ...)`` and ``labels(doc_id, quality, ...)``. Rules are learned from at
     most ``learn_rows`` labelled rows, those least by a hash of doc_id; null labels and null doc_ids
-    teach nothing; without rows of both classes the list is empty. Returns a row for each input
+    teach nothing, of clashing labels the smaller holds; without rows of both classes the list is empty. Returns a row for each input
     row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
     rule (number of the rule that dropped it, else 0). Null and blank texts have zeros and fail the
     base. Repeated rows are judged alike. An empty table gives an empty result.

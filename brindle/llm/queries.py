@@ -34,7 +34,8 @@ def piece_model(path: str | None = None) -> bytes:
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles at 0.8 over all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

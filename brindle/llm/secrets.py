@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm._store import small
+
 _RUN = "A-Za-z0-9_+/\\-"
 MASK = "[SECRET]"
 FRAGMENTS = (
@@ -226,7 +228,7 @@ def forest_score(x: Column, forest: Sequence[Node | float]) -> Column:
 
 
 def train_forest(spark: SparkSession, findings: Sequence[tuple[str, str, str, str, int]] | None = None) -> list[Node | float]:
-    rows = spark.createDataFrame([*(findings or labelled_findings())], "before string, token string, after string, path string, label int")
+    rows = small(spark, [*(findings or labelled_findings())], "before string, token string, after string, path string, label int")
     made = rows.select("label", features(F.col("token"), F.col("before"), F.col("after"), F.col("path")).alias("x")).select("label", *(F.col("x")[f].alias(f) for f in FEATURES)).collect()
     x = np.array([[r[f] for f in FEATURES] for r in made])
     return grow_forest(x, np.array([r["label"] for r in made], float))
@@ -237,28 +239,31 @@ def scan_secrets(docs: DataFrame, path: str | None = None, cut: float = 0.5, for
 
     ``findings`` is an array of (start, length, score) of the secrets, in characters from 0; in
     ``redacted`` each is replaced by a mask and all else is as before. All other columns stay, whatever
-    their names; of clashing ones the new column wins. Null text has no candidates and stays null. Texts
-    without candidates stay as they are. Repeated rows are scanned alike. An empty table gives an empty
+    their names; of columns named n_candidates, findings or redacted the new one wins. Null text has no candidates and stays null. Texts
+    without candidates stay as they are; very long ones are scanned whole. Repeated rows are scanned alike. An empty table gives an empty
     result. ``path`` names a column with each text's file path, if there is one.
     """
     forest = forest or train_forest(docs.sparkSession)
+    taken = {c.lower() for c in docs.columns}
+    lead = next("_" * i for i in range(1, len(taken) + 2) if not any(c.startswith("_" * i) for c in taken))
+    own = {c: lead + c for c in ("tokens", "between", "x", "score")}  # names that no column of docs has
     text, none = F.coalesce("text", F.lit("")), F.array().cast("array<string>")
     some = text.rlike("[0-9:=\"'`]")  # no candidate is without one of these
-    out = docs.withColumn("_tokens", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
-    found = F.size("_tokens") > 0
-    out = out.withColumn("_between", F.when(found, F.split(text, CANDIDATE, -1)).otherwise(none))
+    out = docs.withColumn(own["tokens"], F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
+    found = F.size(own["tokens"]) > 0
+    out = out.withColumn(own["between"], F.when(found, F.split(text, CANDIDATE, -1)).otherwise(none))
     where = F.col(path) if path else F.lit("")
-    judged = F.transform("_tokens", lambda t, i: features(t, F.right(F.get("_between", i), F.lit(48)), F.left(F.get("_between", i + 1), F.lit(16)), where))
-    out = out.withColumn("_x", judged)
-    out = out.withColumn("_score", F.transform("_x", lambda x: forest_score(x, forest)))
+    judged = F.transform(own["tokens"], lambda t, i: features(t, F.right(F.get(own["between"], i), F.lit(48)), F.left(F.get(own["between"], i + 1), F.lit(16)), where))
+    out = out.withColumn(own["x"], judged)
+    out = out.withColumn(own["score"], F.transform(own["x"], lambda x: forest_score(x, forest)))
     step = lambda a, i: F.struct(
-        (a["at"] + F.char_length(F.get("_between", i)) + F.char_length(F.get("_tokens", i))).alias("at"),
-        F.concat(a["all"], F.array(F.struct((a["at"] + F.char_length(F.get("_between", i))).alias("start"), F.char_length(F.get("_tokens", i)).alias("length"), F.get("_score", i).alias("score")))).alias("all"),
+        (a["at"] + F.char_length(F.get(own["between"], i)) + F.char_length(F.get(own["tokens"], i))).alias("at"),
+        F.concat(a["all"], F.array(F.struct((a["at"] + F.char_length(F.get(own["between"], i))).alias("start"), F.char_length(F.get(own["tokens"], i)).alias("length"), F.get(own["score"], i).alias("score")))).alias("all"),
     )
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int,score:double>>").alias("all"))
-    every = F.when(found, F.aggregate(F.sequence(F.lit(0), F.size("_tokens") - 1), zero, step, lambda a: a["all"])).otherwise(F.array().cast("array<struct<start:int,length:int,score:double>>"))
-    pieces = F.transform("_tokens", lambda t, i: F.concat(F.when(F.get("_score", i) >= cut, F.lit(MASK)).otherwise(t), F.get("_between", i + 1)))
-    hit = F.exists("_score", lambda s: s >= cut)
-    out = out.withColumn("redacted", F.when(hit, F.concat(F.get("_between", F.lit(0)), F.array_join(pieces, ""))).otherwise(F.col("text")))
-    out = out.withColumn("n_candidates", F.size("_tokens").cast("long")).withColumn("findings", F.filter(every, lambda f: f["score"] >= cut))
-    return out.drop("_tokens", "_between", "_x", "_score")
+    every = F.when(found, F.aggregate(F.sequence(F.lit(0), F.size(own["tokens"]) - 1), zero, step, lambda a: a["all"])).otherwise(F.array().cast("array<struct<start:int,length:int,score:double>>"))
+    pieces = F.transform(own["tokens"], lambda t, i: F.concat(F.when(F.get(own["score"], i) >= cut, F.lit(MASK)).otherwise(t), F.get(own["between"], i + 1)))
+    hit = F.exists(own["score"], lambda s: s >= cut)
+    out = out.withColumn("redacted", F.when(hit, F.concat(F.get(own["between"], F.lit(0)), F.array_join(pieces, ""))).otherwise(F.col("text")))
+    out = out.withColumn("n_candidates", F.size(own["tokens"]).cast("long")).withColumn("findings", F.filter(every, lambda f: f["score"] >= cut))
+    return out.drop(*own.values())

@@ -180,6 +180,16 @@ def test_pipeline(spark, sf):
     assert out.where("not round_trip").isEmpty() and out.count() == docs.count()
 
 
+def test_repeated_ids_in_stages(spark, sf):
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join(w + "z" for w in words)
+    texts = [(5, a), (5, b), (3, a + " more"), (9, b + " more"), (5, b), (7, None), (7, a + " tail"), (None, a), (None, None), (8, ""), (5, b + " end")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup_stage(spark, df, sf).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(3, a + " more"), (5, b), (7, None), (None, a), (None, None), (8, "")], key=repr)
+    assert corpus_pipeline.near_dedup_stage(spark, df.where("false"), sf).count() == 0
+
+
 def test_pipeline_odd(spark, sf, tmp_path):
     full = spark.read.parquet(f"{sf}/documents.parquet")
     full.unionByName(odd(spark).select(*full.columns)).write.parquet(str(tmp_path / "documents.parquet"))
