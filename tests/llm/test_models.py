@@ -146,6 +146,60 @@ def test_filter_grows_and_stays_in_cells(spark, sf, monkeypatch):
     assert mean([r for r in out if r["doc_id"] >= 10**6]) < mean([r for r in out if r["doc_id"] < 10**6]) - 0.5
 
 
+def model_by_hand(docs, order):
+    """Scores from exact counts, quantised as the filter does, by plain loops; weights fitted on the tokens themselves."""
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs}
+    texts = {d: [*WORD.findall(lowered(t)), None] for d, t in docs}
+    gram = lambda own, i, n: (n, *(own[i - n + 1 : i + 1] if i >= n - 1 else ["", *own[: i + 1]][-n:]))
+    count = collections.Counter()
+    for d, own in texts.items():
+        for i in range(len(own) if held[d] else 0, len(own)):
+            for n in range(1, order + 1):
+                count[gram(own, i, n)] += 1
+    ends, tokens, types = sum(not h for h in held.values()), sum(len(t) for d, t in texts.items() if not held[d]), sum(g[0] == 1 for g in count)
+    middle = lambda n: lm._MIDDLES[np.searchsorted(lm._FLOORS, n, side="right")] if n else 0.0
+
+    def seen(own, i, n):
+        if n == 1:
+            return float(ends) if own[i] is None else middle(count[gram(own, i, 1)])
+        return middle(count[gram(own, i, n)])
+
+    rows = [(d, i) for d, own in texts.items() for i in range(len(own))]
+    single = np.array([min(1.0, (seen(texts[d], i, 1) + 1) / (tokens + types + 1)) for d, i in rows])
+    train, p, loo = np.array([not held[d] for d, _ in rows]), single.copy(), single.copy()
+    for n in range(2, order + 1):
+        c = np.array([seen(texts[d], i, n) for d, i in rows])
+        x = np.array([seen(texts[d], i - 1, n - 1) if i else float(ends) for d, i in rows])
+        rest, cls, weights = np.clip((c - 1) / np.maximum(x - 1, 1), 0, 1), lm._class(x), np.full(24, 0.3)
+        for _ in range(25):
+            w = weights[cls[train]]
+            share = w * rest[train] / ((1 - w) * loo[train] + w * rest[train])
+            weights = (np.bincount(cls[train], share, 24) + 0.1) / (np.bincount(cls[train], minlength=24) + 10)
+        weights[0] = 0.0
+        w = weights[cls]
+        p, loo = (1 - w) * p + w * np.minimum(1.0, c / np.maximum(x, 1)), (1 - w) * loo + w * rest
+    out = collections.defaultdict(float)
+    for (d, _), q in zip(rows, p):
+        out[d] += math.log10(q)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_are_those_of_the_model(spark, monkeypatch, order):
+    r = np.random.default_rng(12)
+    docs = [(i, " ".join(f"w{x}" for x in np.cumsum(r.integers(0, 3, int(r.integers(1, 60)))) % 40)) for i in range(150)]
+    monkeypatch.setattr(lm, "filter_bits", lambda _: 1 << 25)
+    want = model_by_hand(docs, order)
+    got = lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), order=order, block_chars=1 << 11).collect()
+    assert len(got) == len(docs) and all(math.isclose(x["score"], want[x["doc_id"]], rel_tol=0.01) for x in got)
+
+
+def test_scores_stay_log_probabilities(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm, "filter_bits", lambda tokens: 1 << int(np.log2(max(1024, tokens // 4))))
+    out = lm.score_texts(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert all(r["score"] <= 0 for r in out)
+
+
 def test_weights_come_from_all_blocks(spark):
     # a sixth of the texts has words in order, all others in none; few blocks can hold no such mixture
     r = np.random.default_rng(8)
