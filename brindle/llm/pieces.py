@@ -129,7 +129,7 @@ class PieceModel:
     def _beside(self, left: str, right: str) -> bool:
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             found = self.fits[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
@@ -240,27 +240,44 @@ def _back(at: int, last: list[str], start: list[int]) -> list[str]:
 
 
 class Lexicon:
-    """Ids and spelling of marked words met so far. It is emptied when it holds ``most`` words."""
+    """Ids and spelling of marked words met so far.
 
-    def __init__(self, model: PieceModel, most: int = 500_000):
+    When it holds ``most`` words they become the older generation, from which words that are met again
+    move over; the rest is forgotten with the next change.
+    """
+
+    def __init__(self, model: PieceModel, most: int = 60_000):
         self.model, self.most = model, most
         self.clear()
+        self.clear()
 
     def clear(self) -> None:
+        self.older = (self.codes, self.flat, self.ends, self.spelling) if hasattr(self, "codes") else None
         self.codes: dict[str, int] = {}
         self.flat, self.ends, self.spelling = array("i"), array("q", [0]), []
 
     def learn(self, words: set[str]) -> None:
-        fresh = sorted(words.difference(self.codes))
+        new = words.difference(self.codes)
+        known, ids, at, said = self.older
+        for word in new.intersection(known):
+            code = known[word]
+            self.flat.extend(ids[at[code] : at[code + 1]])
+            self.ends.append(len(self.flat))
+            self.codes[word] = len(self.codes)
+            self.spelling.append(said[code])
+        fresh, get = sorted(new.difference(known)), self.model.ids.get
         marked = [MARK + w if self.model.dummy_prefix and w[0] != MARK else w for w in fresh]
         for word, whole, pieces in zip(fresh, marked, self.model.segments(marked)):
-            at = len(self.flat)
-            for piece in pieces:
-                self.flat.extend(self.model.piece_ids(piece))
+            at, numbers = len(self.flat), [get(piece) for piece in pieces]
+            if None in numbers:
+                for piece in pieces:
+                    self.flat.extend(self.model.piece_ids(piece))
+                whole = self.model.spelled(self.flat[at:])
+            else:  # pieces of the model are spelled as they stand
+                self.flat.extend(numbers)
             self.ends.append(len(self.flat))
             self.codes[word] = len(self.codes)
-            spelled = self.model.spelled(self.flat[at:])
-            self.spelling.append(whole if spelled == whole else spelled)
+            self.spelling.append(whole)
 
     def _words(self, text: str) -> list[str]:
         """Marked words; where each has one mark, plain words that stand for them."""
@@ -301,7 +318,7 @@ def _lexicon(blob: bytes) -> Lexicon:
 def _encoded(batches: Iterator[pa.RecordBatch], blob: bytes, with_ids: bool) -> Iterator[pa.RecordBatch]:
     lexicon = _lexicon(blob)
     for batch in batches:
-        for a, b, texts in slices(batch, batch.schema.get_field_index("text"), 1 << 21):
+        for a, b, texts in slices(batch, batch.schema.get_field_index("text")):
             n, sums, same, ids = [], [], [], []
             for text, (own, back) in zip(texts, lexicon.encode(texts)):
                 n.append(len(own))
