@@ -246,7 +246,7 @@ class Lexicon:
     move over; the rest is forgotten with the next change.
     """
 
-    def __init__(self, model: PieceModel, most: int = 60_000):
+    def __init__(self, model: PieceModel, most: int = 200_000):
         self.model, self.most = model, most
         self.clear()
         self.clear()
