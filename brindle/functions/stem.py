@@ -14,13 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The endings of the published algorithm.
-STEP_2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log"
-STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-
-_pairs = lambda text: sorted((tuple(x.split(":")) for x in text.split()), key=lambda p: -len(p[0]))
-_STEP_2, _STEP_3 = _pairs(STEP_2), _pairs(STEP_3)
-_STEP_4 = sorted(STEP_4.split(), key=len, reverse=True)
+STEP_2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
+    ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
+    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("logi", "log"),
+)
+STEP_3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
+    ("ful", ""), ("ness", ""),
+)
+STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+_STEP_2, _STEP_3 = (sorted(step, key=lambda p: -len(p[0])) for step in (STEP_2, STEP_3))
+_STEP_4 = sorted(STEP_4, key=len, reverse=True)
 
 
 def _shape(word: str) -> str:

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The stop words of queries and the character classes that define the vocabularies.
-STOP_WORDS = ("a an and are as at be by for from has he in is it its of on that the to was were will with").split()
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were",
+    "will", "with",
+)
 TAG = "<.*?>"
 QUERY_PUNCTUATION = "[.,:;!?'\"()-]"
 INDEX_PUNCTUATION = "[.,:;!?'\"()%-@#&*^`<>(){}]"
 FIRST_ZIP, LAST_ZIP = "00501", "99950"
+PAGE_LIMIT, WORD_LIMIT = 30_000, 1_500
 
 
 def _col(c: Column | str) -> Column:
@@ -37,6 +41,16 @@ def tokens(text: Column | str, mode: str = "query") -> Column:
     return F.filter(F.split(clean(text, mode), "\\s+"), lambda w: w != "")
 
 
+def cut_page(html: Column | str, most: int = PAGE_LIMIT) -> Column:
+    """The first characters of a page, cut before it is parsed."""
+    return F.left(_col(html), F.lit(most))
+
+
+def hash_key(text: Column | str) -> Column:
+    """The key under which an address or a body is stored."""
+    return F.sha1(_col(text))
+
+
 def scrub(text: Column | str) -> Column:
     """Non-ASCII, number signs and control characters become spaces."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(text), "[^\\x00-\\x7F]", " "), "#", " "), "\\p{Cc}", " ")
@@ -47,14 +61,19 @@ def valid_word(word: Column) -> Column:
     return word.rlike("^[\\p{IsDigit}\\p{IsAlphabetic}$#%]") & ~word.isin("#", "$", "%")
 
 
-def index_tokens(text: Column | str, mode: str = "v2", limit: int | None = 1500) -> Column:
+def index_tokens(text: Column | str, mode: str = "v2", limit: int | None = WORD_LIMIT) -> Column:
     """The first ``limit`` valid words; cut before any row is exploded."""
     words = F.filter(tokens(text, mode), valid_word)
     return words if limit is None else F.slice(words, 1, limit)
 
 
+def page_words(html: Column | str, page_limit: int = PAGE_LIMIT, word_limit: int = WORD_LIMIT) -> Column:
+    """The words of a page that are indexed: cut, visible text, ASCII only, cleaned, valid, the first of them."""
+    return index_tokens(scrub(html_text(cut_page(html, page_limit))), "v2", word_limit)
+
+
 def query_tokens(text: str | Column) -> Column:
-    return F.filter(tokens(text, "query"), lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(tokens(text, "query"), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def split_query(text: str, stop_words: bool = True) -> list[str]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.urls import extract_links, normalise_links
 from brindle.sources.tables import ensure_checkpoints
 
 DAMPING, REST = 0.85, 0.15
@@ -33,12 +34,27 @@ def pagerank(nodes: DataFrame, edges: DataFrame, epsilon: float = 0.01, percent:
         new = new.checkpoint()
         ranks = new.select("node", "rank")
         if exact_iterations is None:
-            settled = new.agg(F.avg(F.when(F.abs(F.col("rank") - F.col("before")) <= epsilon, 100.0).otherwise(0.0))).first()[0]
-            if settled >= percent:
+            if settled(new, epsilon).first()[0] >= percent:
                 break
     return ranks
 
 
+def settled(moves: DataFrame, epsilon: float) -> DataFrame:
+    """One row ``percent``: how many of ``moves(rank, before)`` moved by ``epsilon`` at most."""
+    return moves.agg(F.avg(F.when(F.abs(F.col("rank") - F.col("before")) <= epsilon, 100.0).otherwise(0.0)).alias("percent"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of the links of ``pages(url, page)``; an empty link stands for the page itself."""
+    links = pages.select("url", F.explode(extract_links(F.col("page"))).alias("link"))
+    return normalise_links(links, self_on_empty=True).select(F.col("url").alias("src"), F.col("normal").alias("dst")).distinct()
+
+
+def pagerank_of_pages(pages: DataFrame, **how) -> DataFrame:
+    """(node, rank) of ``pages(url, page)`` by their links."""
+    return pagerank(pages.select(F.col("url").alias("node")), page_links(pages), **how)
+
+
 def frontier(seeds: DataFrame, links_of: Callable[[DataFrame], DataFrame], max_rounds: int = 10) -> DataFrame:
     """(url, depth) reached from ``seeds(url)`` in rounds; ``links_of`` maps a round's ``url`` rows to found ``url`` rows."""
     ensure_checkpoints(seeds.sparkSession)
@@ -49,7 +65,7 @@ def frontier(seeds: DataFrame, links_of: Callable[[DataFrame], DataFrame], max_r
         new = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if new.isEmpty():
             break
-        seen = seen.unionByName(new).checkpoint()
+        seen = seen.unionByName(new)  # each round is kept once; earlier ones are only read
     return seen
 
 

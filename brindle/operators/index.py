@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.stem import stemmed
-from brindle.functions.text import clean, is_zip, tokens
+from brindle.functions.text import is_zip, page_words
 from brindle.sources.tables import dense_ids
 
 
-def doc_ids(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(doc_id, url, encoded_url) for new urls in order, numbered on from those known; urls with ``..`` have none."""
+def doc_ids(pages: DataFrame, known: DataFrame | None = None, mode: str = "append") -> DataFrame:
+    """(doc_id, url, encoded_url) for new urls in order, numbered on from those known; urls with ``..`` have none.
+
+    In mode ``rebuild`` what is known is forgotten and all urls are numbered from 1.
+    """
+    if mode not in ("append", "rebuild"):
+        raise ValueError(f"no such mode: {mode}")
+    known = known if mode == "append" else None
     new = pages.select("url").where("url is not null").distinct().withColumn("encoded_url", F.url_encode("url")).where(~F.contains("encoded_url", F.lit("..")))
     base = 0
     if known is not None:
@@ -45,10 +51,24 @@ def postings_positional(docs: DataFrame, words: Column, stems: bool = False) ->
 
 
 def term_stats(postings: DataFrame, n_docs: int | None = None) -> DataFrame:
-    """(term, df, idf) with idf = log10(D / df)."""
-    if n_docs is None:
-        n_docs = postings.select("doc_id").distinct().count()
-    return postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log10(F.lit(float(n_docs)) / F.col("df")))
+    """(term, df, idf) with idf = log10(D / df); D, if not given, is the number of documents in the postings."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    if n_docs is not None:
+        return df.withColumn("idf", F.log10(F.lit(float(n_docs)) / F.col("df")))
+    all_docs = postings.select("doc_id").distinct().agg(F.count("*").alias("d"))  # one row
+    return df.crossJoin(F.broadcast(all_docs)).select("term", "df", F.log10(F.col("d") / F.col("df")).alias("idf"))
+
+
+def index_pages(pages: DataFrame, known: DataFrame | None = None, mode: str = "append", stems: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, postings) of ``pages(url, page)``: ids, and the counts of each page's words and their stems.
+
+    A page is cut, parsed to text, scrubbed and cleaned, and its first valid words count. With
+    ``known`` documents and mode ``append`` only new urls get ids, and pages of all known and new ids are indexed.
+    """
+    new = doc_ids(pages, known, mode)
+    documents = new if known is None or mode == "rebuild" else known.select(*new.columns).unionByName(new)
+    numbered = pages.where("page is not null and page <> ''").join(documents.select("url", "doc_id"), "url").select("doc_id", page_words("page").alias("words"))
+    return documents, postings_count(numbered, F.col("words"), stems)
 
 
 def zip_table(words: DataFrame) -> DataFrame:
@@ -70,10 +90,12 @@ def merge_doc_ids(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, "doc_id", "full_outer").select("doc_id", F.coalesce("b", "a").alias("x")).select("doc_id", "x.*")
 
 
+def merge_all(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Two indexes, each (documents, postings), as one."""
+    return merge_doc_ids(first[0], second[0]), merge_indexes(first[1], second[1])
+
+
 def content_dedup(pages: DataFrame, key: str, body: str) -> DataFrame:
     """(key, canonical): the least key with the same body, by hash of the body."""
     hashed = pages.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), F.sha1(body).alias("h"))
     return hashed.join(hashed.groupBy("h").agg(F.min("key").alias("canonical")), "h").select("key", "canonical")
-
-
-__all__ = ["clean", "content_dedup", "doc_ids", "merge_doc_ids", "merge_indexes", "postings_count", "postings_positional", "term_stats", "tokens", "zip_table"]

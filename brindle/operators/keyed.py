@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,34 @@ def page(cells: DataFrame, from_key: str = "", limit: int = 10) -> DataFrame:
     return cells.join(F.broadcast(keys), "row_key", "left_semi")
 
 
+def get(log: DataFrame, row: str, col: str) -> DataFrame:
+    """(value) of one cell, or no row."""
+    return latest(log.where((F.col("row_key") == row) & (F.col("col") == col))).select("value")
+
+
+def exists(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """(row_key, found) for each of ``keys(row_key)``."""
+    there = log.select("row_key").distinct().withColumn("found", F.lit(True))
+    return keys.join(there, "row_key", "left").select("row_key", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def count(log: DataFrame) -> DataFrame:
+    """One row ``n``: the number of row keys."""
+    return log.select("row_key").distinct().agg(F.count("*").alias("n"))
+
+
+def pivoted(cells: DataFrame, from_key: str = "", limit: int = 10) -> DataFrame:
+    """The next rows as a table with a column for each column name on this page, in order; missing cells are null."""
+    shown = page(cells, from_key, limit)
+    names = [r["col"] for r in shown.select("col").distinct().orderBy("col").collect()]
+    return shown.groupBy("row_key").pivot("col", names).agg(F.max("value")).orderBy("row_key") if names else shown.select("row_key")
+
+
+def routed(cells: DataFrame, workers: int) -> DataFrame:
+    """Cells dealt by ranges of the row key, in order within each: every key has one place, and scans read few."""
+    return cells.repartitionByRange(workers, "row_key").sortWithinPartitions("row_key", "col")
+
+
 class KeyedTable:
     """A named table in the catalog. Writes append cells; reads see the latest."""
 
@@ -69,11 +98,11 @@ class KeyedTable:
 
     def batch_put(self, cells: Iterable[tuple[str, str, str]] | DataFrame) -> None:
         """Append many cells in one write; in a list the later of two equal cells counts."""
-        base = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        base = time.time_ns()  # later writes have larger numbers; the log is not read for it
         if isinstance(cells, DataFrame):
-            new = cells.select("row_key", "col", "value", F.lit(base + 1).cast("long").alias("seq"))
+            new = cells.select("row_key", "col", "value", F.lit(base).cast("long").alias("seq"))
         else:
-            new = self.spark.createDataFrame([(*c, base + 1 + i) for i, c in enumerate(cells)], CELLS)
+            new = self.spark.createDataFrame([(*c, base + i) for i, c in enumerate(cells)], CELLS)
         new.write.mode("append").saveAsTable(self.name)
 
     def put(self, row: str, col: str, value: str, if_col: str | None = None, equals: str | None = None) -> bool:
@@ -86,7 +115,7 @@ class KeyedTable:
         self.batch_put([(row, c, v) for c, v in cells.items()])
 
     def get(self, row: str, col: str) -> str | None:
-        found = latest(self.log().where((F.col("row_key") == row) & (F.col("col") == col))).first()
+        found = get(self.log(), row, col).first()
         return found["value"] if found else None
 
     def get_row(self, row: str) -> dict[str, str] | None:
@@ -100,17 +129,20 @@ class KeyedTable:
         return rows(latest(scan(self.log(), start, end)))
 
     def count(self) -> int:
-        return self.log().select("row_key").distinct().count()
+        return count(self.log()).first()["n"]
 
     def page(self, from_key: str = "", limit: int = 10) -> DataFrame:
-        return page(self.cells(), from_key, limit)
+        return pivoted(self.cells(), from_key, limit)
 
     def compact(self) -> None:
         """Rewrite the log as current cells, through a table beside it."""
         beside = f"{self.name}__compacted"
-        self.cells().select("row_key", "col", "value", "seq").write.mode("overwrite").saveAsTable(beside)
-        self.delete()
+        old = f"{self.name}__old"
+        routed(self.cells().select("row_key", "col", "value", "seq"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))).write.mode("overwrite").saveAsTable(beside)
+        # the old log keeps a name until the new one has its own
+        self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {old}")
         self.spark.sql(f"ALTER TABLE {beside} RENAME TO {self.name}")
+        self.spark.sql(f"DROP TABLE {old}")
 
     def rename(self, to: str) -> None:
         """An error where the table is missing or the new name is taken."""
@@ -129,3 +161,13 @@ class KeyedTable:
 
 def list_tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables() if not t.isTemporary)
+
+
+def summary(spark: SparkSession) -> list[tuple[str, int, bool]]:
+    """(name, number of row keys, whether it outlives the session) of each keyed table."""
+    out = []
+    for t in spark.catalog.listTables():
+        df = spark.table(t.name)
+        if {"row_key", "col", "value"} <= set(df.columns):
+            out.append((t.name, count(df).first()["n"], not t.isTemporary))
+    return sorted(out)

@@ -9,7 +9,8 @@ from brindle.functions.stem import stem
 
 # Fixed values of the serving ranker.
 EXACT_BOOST, STEM_BOOST = 50.0, 25.0
-POSTING_CAP, RESULT_CAP = 2000, 101
+POSTING_CAP, RESULT_CAP, PAGE_SIZE = 2000, 101, 10
+NO_TITLE, NO_PAGE = "No title found", "No page found"
 
 
 def tfidf(postings: DataFrame, stats: DataFrame, words: list[str], limit: int | None = RESULT_CAP) -> DataFrame:
@@ -65,11 +66,21 @@ def harmonic_merge(scores: DataFrame, ranks: DataFrame) -> DataFrame:
     return scores.select("url", F.col("score").alias("text_score")).join(ranks.select("url", "rank"), "url").select("url", F.try_divide(2 * p * t, p + t).alias("score"))
 
 
+def merged_in_order(scores: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The harmonic merge in order of url."""
+    return harmonic_merge(scores, ranks).orderBy("url")
+
+
+def page_of(results: DataFrame, offset: int = 0, size: int = PAGE_SIZE) -> DataFrame:
+    """The next ``size`` of ranked results after the first ``offset``."""
+    return results.orderBy(F.desc("score"), "doc_id").offset(offset).limit(size)
+
+
 def packaged(results: DataFrame, docs: DataFrame, titles: DataFrame) -> DataFrame:
     """(doc_id, score, title, description, url) of ranked results; the description is a quarter of the page."""
     joined = results.join(docs.select("doc_id", "encoded_url"), "doc_id").withColumn("url", F.try_url_decode("encoded_url")).join(titles, "url", "left")
     quarter = F.substring("page", F.lit(1), F.floor(F.length("page") / 4).cast("int"))
-    return joined.select("doc_id", "score", F.coalesce("title", F.lit("No title found")).alias("title"), F.coalesce(quarter, F.lit("No page found")).alias("description"), "url")
+    return joined.select("doc_id", "score", F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce(quarter, F.lit(NO_PAGE)).alias("description"), "url")
 
 
 def results_json(results: DataFrame) -> DataFrame:

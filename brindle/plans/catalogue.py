@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.functions import urls as U
 from brindle.functions.stem import stemmed
 from brindle.operators import graph, index, keyed, phrase, rank
-from brindle.operators.bags import Bag, PairBag
+from brindle.operators.bags import Bag, PairBag, python
+from brindle.operators.crawl import crawl, whole_url
 from brindle.sources.tables import dense_ids, fetched, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +106,22 @@ def bag_fold_python(spark, d):
     return spark.createDataFrame([(Bag(table(spark, d, "nation").select("n_name")).fold_python("", _longer),)], "value string")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS value FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '/4'), 1, 8) AS BIGINT) < CAST(floor(0.2 * 4294967296) AS BIGINT)")
+def bag_sample_by_hash(spark, d):
+    return Bag(table(spark, d, "orders").select("o_orderkey")).sample_by_hash(0.2, seed=4).df
+
+
+@query("SELECT lower(p_type) AS value FROM part")
+def bag_map(spark, d):
+    return Bag(table(spark, d, "part").select("p_type")).map(F.lower).df
+
+
+@query("SELECT w AS k, CAST(count(*) AS VARCHAR) AS v FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w NOT LIKE '%a%' GROUP BY 1")
+def bag_python_chain(spark, d):
+    words = Bag(table(spark, d, "part").select("p_name")).map(python(str.lower)).flat_map(python(lambda v: v.split(" "))).filter(python(lambda v: "a" not in v))
+    return words.map_to_pair(python(lambda v: (v, "1"))).fold_by_key("0", python(lambda a, b: str(int(a) + int(b)))).df
+
+
 @query()
 def bag_sample(spark, d):
     return Bag(table(spark, d, "orders").select("o_orderkey")).sample(0.2, seed=4).df
@@ -185,10 +202,9 @@ def kv_latest_wins(spark, d):
     return keyed.latest(_log(spark, d)).select("row_key", "col", "value")
 
 
-@query(_LOG_SQL + "SELECT value FROM cells WHERE row_key = '7' AND col = (SELECT min(col) FROM log WHERE row_key = '7')")
+@query(_LOG_SQL + "SELECT value FROM cells WHERE row_key = '7' AND col = 'click'")
 def kv_get_cell(spark, d):
-    mine = keyed.latest(_log(spark, d).where("row_key = '7'"))
-    return mine.agg(F.min_by("value", "col").alias("value")).where("value is not null")
+    return keyed.get(_log(spark, d), "7", "click")
 
 
 @query(_LOG_SQL + "SELECT row_key, string_agg(col || '=' || value, ';' ORDER BY col) AS cells FROM cells WHERE row_key = '7' GROUP BY 1")
@@ -200,8 +216,7 @@ def kv_get_row(spark, d):
 @query("SELECT k AS row_key, k IN (SELECT CAST(user_id AS VARCHAR) FROM events) AS found FROM (VALUES ('1'), ('7'), ('none')) t(k)")
 def kv_exists(spark, d):
     asked = spark.createDataFrame([("1",), ("7",), ("none",)], "row_key string")
-    there = _log(spark, d).select("row_key").distinct().withColumn("hit", F.lit(True))
-    return asked.join(there, "row_key", "left").select("row_key", F.coalesce("hit", F.lit(False)).alias("found"))
+    return keyed.exists(_log(spark, d), asked)
 
 
 @query(_LOG_SQL + "SELECT row_key, col, value FROM cells WHERE row_key >= '2' AND row_key < '3'")
@@ -211,7 +226,7 @@ def kv_range_scan(spark, d):
 
 @query("SELECT count(DISTINCT user_id) AS n FROM events")
 def kv_count(spark, d):
-    return _log(spark, d).agg(F.countDistinct("row_key").alias("n"))
+    return keyed.count(_log(spark, d))
 
 
 @query(_LOG_SQL + """
@@ -231,19 +246,20 @@ def kv_page_view(spark, d):
 
 
 @query(_LOG_SQL + """
-SELECT coalesce(n.row_key, c.row_key) AS row_key, coalesce(n.col, c.col) AS col, coalesce(n.value, c.value) AS value
-FROM cells c FULL OUTER JOIN (SELECT CAST(c_custkey AS VARCHAR) AS row_key, 'click' AS col, c_name AS value FROM customer WHERE c_custkey <= 50) n ON c.row_key = n.row_key AND c.col = n.col
+SELECT row_key, max(CASE WHEN col = 'click' THEN value END) AS click, max(CASE WHEN col = 'purchase' THEN value END) AS purchase
+FROM cells WHERE row_key IN (SELECT DISTINCT row_key FROM log WHERE row_key >= '3' ORDER BY 1 LIMIT 10) GROUP BY 1
 """)
-def kv_bulk_upsert(spark, d):
-    new = table(spark, d, "customer").where("c_custkey <= 50").select(F.col("c_custkey").cast("string").alias("row_key"), F.lit("click").alias("col"), F.col("c_name").alias("value"), F.lit(1).cast("long").alias("seq"))
-    return keyed.upsert(keyed.latest(_log(spark, d)).select("row_key", "col", "value", "seq"), new).select("row_key", "col", "value")
+def kv_page_pivoted(spark, d):
+    cells = keyed.latest(_log(spark, d)).where("col in ('click', 'purchase')").select("row_key", "col", "value")
+    more = keyed.latest(_log(spark, d)).select("row_key").distinct().join(cells, "row_key", "left")
+    return keyed.pivoted(more, "3", 10).select("row_key", *(F.col(c) for c in ("click", "purchase")))
 
 
 @query(_LOG_SQL + """
 SELECT coalesce(n.row_key, c.row_key) AS row_key, coalesce(n.col, c.col) AS col, coalesce(n.value, c.value) AS value
 FROM cells c FULL OUTER JOIN (SELECT CAST(c_custkey AS VARCHAR) AS row_key, 'click' AS col, c_name AS value FROM customer) n ON c.row_key = n.row_key AND c.col = n.col
 """)
-def kv_bulk_upsert_whole(spark, d):
+def kv_bulk_upsert(spark, d):
     new = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("row_key"), F.lit("click").alias("col"), F.col("c_name").alias("value"), F.lit(1).cast("long").alias("seq"))
     return keyed.upsert(keyed.latest(_log(spark, d)).select("row_key", "col", "value", "seq"), new).select("row_key", "col", "value")
 
@@ -311,13 +327,8 @@ def zip_codes(spark, d):
     return index.zip_table(table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.lpad(F.col("o_orderkey").cast("string"), 5, "0").alias("term")))
 
 
-@query("SELECT doc_id, list_filter(" + _tokens_sql("substr(text, 1, 60)") + ", lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")).array_to_string(' ') AS words FROM documents")
-def query_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.query_tokens(F.substring("text", 1, 60)), " ").alias("words"))
-
-
 @query("SELECT doc_id, list_filter(" + _tokens_sql("text") + ", lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")).array_to_string(' ') AS words FROM documents")
-def query_words_whole(spark, d):
+def query_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.query_tokens("text"), " ").alias("words"))
 
 
@@ -327,10 +338,10 @@ _PARTS_SQL = """SELECT page_id, regexp_extract(url, '^([^/]+):/+', 1) AS scheme,
 coalesce(nullif(regexp_extract(url, '^[^/]+//[^/]+(/.*)$', 1), ''), '/') AS path FROM pages"""
 
 
-@query(_PARTS_SQL)
+@query("SELECT page_id, scheme, split_part(host, ':', 1) AS host, nullif(regexp_extract(url, '^[^/]+//[^/:]+:([0-9]+)', 1), '') AS port, path FROM (" + _PARTS_SQL.replace("page_id,", "page_id, url,", 1) + ")")
 def url_parts(spark, d):
     parts = U.url_parts(F.col("url"))
-    return table(spark, d, "pages").select("page_id", *(parts[p].alias(p) for p in ("scheme", "host", "path")))
+    return table(spark, d, "pages").select("page_id", *(parts[p].alias(p) for p in ("scheme", "host", "port", "path")))
 
 
 _LINKS_SQL = """
@@ -447,10 +458,8 @@ def postings_with_stems(spark, d):
     return index.postings_count(table(spark, d, "documents").select("doc_id", "text"), T.index_tokens("text", "v1", 2000), stems=True)
 
 
-@query(_TOKENS + """, tf AS (SELECT term, doc_id, count(*) AS tf FROM toks GROUP BY 1, 2),
-a AS (SELECT term, doc_id, tf FROM tf WHERE doc_id % 3 <> 1), b AS (SELECT term, doc_id, tf * 10 AS tf FROM tf WHERE doc_id % 3 <> 0)
-SELECT term, doc_id, coalesce(b.tf, a.tf) AS tf FROM a FULL OUTER JOIN b USING (term, doc_id)
-""")
+# of a document that is in both the second counts, so its postings are those of the second alone
+@query(_TOKENS + "SELECT term, doc_id, count(*) * CASE WHEN doc_id % 3 <> 0 THEN 10 ELSE 1 END AS tf FROM toks GROUP BY 1, 2")
 def merge_indexes(spark, d):
     tf = _postings(spark, d)
     return index.merge_indexes(tf.where("doc_id % 3 <> 1"), tf.where("doc_id % 3 <> 0").withColumn("tf", F.col("tf") * 10))
@@ -506,22 +515,11 @@ def search_boosted(spark, d):
     return rank.search(postings, docs, T.split_query("the Inges, thing of")).withColumn("score", F.round("score", 4))
 
 
-@query("""
-WITH s AS (SELECT url, CAST(length(html) AS DOUBLE) AS t FROM pages), r AS (SELECT url, 0.15 + page_id % 7 AS p FROM pages WHERE page_id % 2 = 0)
-SELECT url, round(2 * p * t / (p + t), 6) AS score FROM s JOIN r USING (url)
-""")
-def harmonic_merge(spark, d):
-    pages = table(spark, d, "pages")
-    scores = pages.select("url", F.length("html").cast("double").alias("score"))
-    ranks = pages.where("page_id % 2 = 0").select("url", (F.lit(0.15).cast("double") + F.col("page_id") % 7).alias("rank"))
-    return rank.harmonic_merge(scores, ranks).withColumn("score", F.round("score", 6))
-
-
 @query("""
 WITH s AS (SELECT url, CAST(length(html) AS DOUBLE) AS t FROM pages), r AS (SELECT url, 0.15 + page_id % 7 AS p FROM pages)
 SELECT url, round(2 * p * t / (p + t), 6) AS score FROM s JOIN r USING (url)
 """)
-def harmonic_merge_whole(spark, d):
+def harmonic_merge(spark, d):
     pages = table(spark, d, "pages")
     scores = pages.select("url", F.length("html").cast("double").alias("score"))
     ranks = pages.select("url", (F.lit(0.15).cast("double") + F.col("page_id") % 7).alias("rank"))
@@ -563,14 +561,8 @@ def results_json(spark, d):
     return rank.results_json(rank.packaged(top, docs.withColumn("encoded_url", F.url_encode("url")), pages))
 
 
-@query(_TOKENS + ", tf AS (SELECT term, doc_id FROM toks GROUP BY 1, 2) SELECT term, least(count(*), 20) AS n FROM tf GROUP BY 1")
-def posting_cap(spark, d):
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return _postings(spark, d).withColumn("place", place).where("place <= 20").groupBy("term").agg(F.count("*").alias("n"))
-
-
 @query(_TOKENS + f", tf AS (SELECT term, doc_id FROM toks GROUP BY 1, 2) SELECT term, least(count(*), {rank.POSTING_CAP}) AS n FROM tf GROUP BY 1")
-def posting_cap_whole(spark, d):
+def posting_cap(spark, d):
     return rank.capped(_postings(spark, d)).groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -622,7 +614,68 @@ def frontier_bfs(spark, d):
     return graph.frontier(seeds, lambda urls: urls.join(edges, urls["url"] == edges["src"]).select(F.col("dst").alias("url")), max_rounds=3)
 
 
-@query("SELECT round(100.0 * count(*) FILTER (WHERE abs(c_acctbal - 1000) <= 500) / count(*), 6) AS percent FROM customer")
+@query(_GRAPH_SQL + _turn_sql(1) + _turn_sql(2) + _turn_sql(3) + "SELECT avg(CASE WHEN abs(r3.r - r2.r) <= 0.3 THEN 100.0 ELSE 0.0 END) AS percent FROM r3 JOIN r2 USING (node)")
 def convergence_share(spark, d):
-    close = F.when(F.abs(F.col("c_acctbal") - 1000) <= 500, 100.0).otherwise(0.0)
-    return table(spark, d, "customer").agg(F.round(F.avg(close), 6).alias("percent"))
+    nodes, edges = _trade(spark, d)
+    before = graph.pagerank(nodes, edges, exact_iterations=2).withColumnRenamed("rank", "before")
+    return graph.settled(graph.pagerank(nodes, edges, exact_iterations=3).join(before, "node"), 0.3)
+
+
+_SELF_SQL = _NORMAL_SQL + """, self AS (SELECT page_id, regexp_extract(url, '^([^/]+):/+', 1) || '://' || regexp_extract(url, '^[^/]+//([^/]+)', 1) || ':' || CASE WHEN url LIKE 'http:%' THEN '80' ELSE '443' END
+|| regexp_replace(coalesce(nullif(regexp_extract(url, '^[^/]+//[^/]+(/.*)$', 1), ''), '/'), '#.*$', '') AS link FROM links WHERE regexp_replace(link, '#.*$', '') IN ('', '/'))
+SELECT DISTINCT url AS src, link AS dst FROM (SELECT * FROM normal UNION ALL SELECT * FROM self) JOIN pages USING (page_id)
+"""
+
+
+def _web(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("url", F.col("html").alias("page"))
+
+
+@query(_SELF_SQL)
+def page_links(spark, d):
+    return graph.page_links(_web(spark, d))
+
+
+@query("SELECT url AS node, CAST(0.15 AS DOUBLE) AS rank FROM pages")  # no page of these tables links to another
+def pagerank_pages(spark, d):
+    return graph.pagerank_of_pages(_web(spark, d), exact_iterations=3)
+
+
+@query()
+def crawl_rounds(spark, d):
+    web = _web(spark, d).withColumn("url", whole_url(F.col("url"))).groupBy("url").agg(F.min("page").alias("page"))
+
+    def fetch(urls: DataFrame) -> DataFrame:
+        found = urls.join(web, "url", "left")
+        none = F.lit(None).cast("string")
+        return found.select("url", F.when(F.col("page").isNull(), 404).otherwise(200).alias("response_code"), F.lit("text/html").alias("content_type"), F.length("page").cast("string").alias("content_length"), none.alias("location"), "page")
+
+    hosts = web.select(U.url_parts(F.col("url"))["host"].alias("host")).distinct().withColumn("body", F.lit(_ROBOTS))
+    crawled, _ = crawl(web.select("url"), fetch, hosts, _BLACKLIST, max_rounds=3, round_ms=2000)
+    return crawled.select("url", "response_code", "canonical_url", F.length("page").alias("n"))
+
+
+@query()
+def index_pages(spark, d):
+    return index.index_pages(_web(spark, d))[1]
+
+
+@query("SELECT page_id AS doc_id, CASE WHEN page_id % 3 <> 0 THEN url || '?new' ELSE url END AS url FROM pages")
+def merge_documents(spark, d):
+    docs = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url", F.url_encode("url").alias("encoded_url"))
+    none = spark.createDataFrame([], "term string, doc_id long, tf long")
+    both = index.merge_all((docs.where("doc_id % 3 <> 1"), none), (docs.where("doc_id % 3 <> 0").withColumn("url", F.concat("url", F.lit("?new"))), none))
+    return both[0].select("doc_id", "url")
+
+
+@query("SELECT page_id, sha1(url) AS key, length(substr(html, 1, 30000)) AS n FROM pages")
+def page_keys(spark, d):
+    return table(spark, d, "pages").select("page_id", T.hash_key("url").alias("key"), F.length(T.cut_page("html")).alias("n"))
+
+
+@query(_STATS + "SELECT doc_id, round(sum((1 + log10(tf)) * idf), 6) AS score FROM tf JOIN idf USING (term) GROUP BY 1 ORDER BY sum((1 + log10(tf)) * idf) DESC, doc_id LIMIT 10 OFFSET 10")
+def results_page(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    n = docs.where(F.size(T.tokens("text")) > 0).count()
+    postings = index.postings_count(docs, F.filter(T.tokens("text"), lambda w: w.isin(_ASKED)))
+    return rank.page_of(rank.tfidf(postings, index.term_stats(postings, n), _ASKED, limit=None), offset=10).withColumn("score", F.round("score", 6))

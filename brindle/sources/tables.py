@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct lower-case words of a text file with one word a line."""
+    """Distinct lower-case words of a text file with one word a line; a missing file has none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "word string")
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> ''").distinct()
 
 
@@ -44,7 +48,11 @@ def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str, str]] | None
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to spark.checkpoint.dir; a folder of our own only where that is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(where)
 
 

@@ -40,15 +40,15 @@ def test_rows(spark, sf, name):
 
 def test_query_words_of_the_whole_text(spark, sf):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    long = [r for r in QUERIES["query_words_whole"](spark, sf).collect() if len(text[r["doc_id"]] or "") > 2000]
+    long = [r for r in QUERIES["query_words"](spark, sf).collect() if len(text[r["doc_id"]] or "") > 2000]
     assert long and all(len(r["words"]) > 60 for r in long)
 
 
 def test_whole_upsert_and_merge(spark, sf):
     customers = spark.read.parquet(f"{sf}/customer.parquet").select("c_name")
-    assert customers.join(QUERIES["kv_bulk_upsert_whole"](spark, sf), customers["c_name"] == F.col("value"), "left_anti").isEmpty()
+    assert customers.join(QUERIES["kv_bulk_upsert"](spark, sf), customers["c_name"] == F.col("value"), "left_anti").isEmpty()
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("url")
-    assert pages.join(QUERIES["harmonic_merge_whole"](spark, sf), "url", "left_anti").isEmpty()
+    assert pages.join(QUERIES["harmonic_merge"](spark, sf), "url", "left_anti").isEmpty()
 
 
 def test_posting_cap_is_the_operators(spark):
