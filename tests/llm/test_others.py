@@ -49,6 +49,45 @@ def test_neighbours_odd(spark):
     assert nearest(df.where("false")).count() == 0
 
 
+def clustered(n, d=32, centres=24, seed=6):
+    r = np.random.default_rng(seed)
+    return r.normal(size=(centres, d))[r.integers(0, centres, n)] + 0.15 * r.normal(size=(n, d))
+
+
+def nearest_by_hand(ids, v, every, k=5):
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        s = unit @ unit[q]
+        out[int(ids[q])] = [int(i) for i in sorted(ids[ids != ids[q]], key=lambda i: (-round(s[i], 12), i))[:k]]
+    return out
+
+
+def test_neighbours_in_shards_and_parts(spark):
+    v = clustered(3000)
+    v[100:1100] = v[100]  # a third of all rows share a vector, which no vantage point can part
+    df = spark.createDataFrame([(i, x.tolist(), "clash", 0.0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, leaf string, score double")
+    want = nearest_by_hand(np.arange(3000), v, 50)
+    for how in ({"shard_rows": 128}, {"shard_rows": 128, "block_rows": 4}, {"shard_rows": 128, "sample_rows": 64}):
+        got = collections.defaultdict(list)
+        for r in sorted(nearest(df, **how).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got[r["query_id"]].append(r["vec_id"])
+        assert got == want
+
+
+def test_pruning_and_recall():
+    v = clustered(6000)
+    ids, queries = np.arange(6000), np.arange(0, 6000, 50)
+    want, share = nearest_by_hand(ids, v, 50), {}
+    for factor in (1.0, 0.7, 0.4):
+        tree = VantageTree(ids, v)
+        got = tree.search(queries, v[queries], 5, factor)
+        hits = sum(len({i for _, i in got[n]} & set(want[int(q)])) for n, q in enumerate(queries))
+        share[factor] = tree.measured / (len(queries) * len(ids))
+        assert hits >= (1.0 if factor == 1.0 else 0.9) * 5 * len(queries)
+    assert share[1.0] < 0.5 and share[0.4] <= share[0.7] <= share[1.0]
+
+
 def test_tree_of_equal_vectors():
     tree = VantageTree(np.arange(500), np.ones((500, 3)))
     assert [i for _, i in tree.search(np.array([7]), np.ones((1, 3)), 5, 1.0)[0]] == [0, 1, 2, 3, 4]
