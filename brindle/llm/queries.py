@@ -100,9 +100,69 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def neighbours_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op2_neighbours with scores as SQL can compare them."""
+    return op2_neighbours(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of op3_quality_rules that come before the learned list."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7_mixing: sizes, and how many words each source holds and may be taken of a document."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", (F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_NEAR_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_LOWERED)} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN list_transform(w, lambda x: [x]) ELSE list_transform(range(1, len(w)), lambda i: w[i:i + 1]) END) AS s FROM words),
+sized AS (SELECT doc_id, len(s) AS n FROM sets),
+grams AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS inter FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * inter >= 80 * (na + nb - inter)),
+ends AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM sized UNION SELECT b, root FROM reach JOIN ends ON a = node WHERE root < b)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM sized JOIN reach ON node = doc_id GROUP BY doc_id, n
+"""
+
+_NEIGHBOURS_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ok AS MATERIALIZED (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_BASE_SQL = f"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+pos AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM words),
+windows AS MATERIALIZED (SELECT doc_id, i, hash(x || ' ' || y2 || ' ' || y3 || ' ' || y4 || ' ' || y5) AS g FROM (
+  SELECT doc_id, i, n, x, lead(x, 1) OVER p AS y2, lead(x, 2) OVER p AS y3, lead(x, 3) OVER p AS y4, lead(x, 4) OVER p AS y5 FROM pos WINDOW p AS (PARTITION BY doc_id ORDER BY i)) WHERE i <= n - 4),
+again AS (SELECT doc_id, g FROM windows GROUP BY 1, 2 HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM windows JOIN again USING (doc_id, g)) GROUP BY 1),
+stats AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM words)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+n_words < 10 OR 100 * coalesce(n, 0) > 20 * n_words AS base_failed FROM stats LEFT JOIN covered USING (doc_id)
+"""
+
+_SIZES_SQL = f"""
+WITH s AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size FROM documents)
+SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size, true AS within FROM s
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op2_neighbours, op3_quality_rules, op4_pieces, op5_language_model, op6_secret_scan, op7_mixing, op8_language_id, op9_sharding, op10_quality_model, lid_pages)}
+    own = (op1_near_dedup, op2_neighbours, op3_quality_rules, op4_pieces, op5_language_model, op6_secret_scan, op7_mixing, op8_language_id, op9_sharding, op10_quality_model)
+    return {q.__name__: q for q in (*own, lid_pages, neighbours_rounded, quality_base, mixing_sizes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same: not for models, draws and checksums, whose queries are tested against plain Python."""
+    return {"op1_near_dedup": _NEAR_SQL, "neighbours_rounded": _NEIGHBOURS_SQL, "quality_base": _BASE_SQL, "mixing_sizes": _SIZES_SQL}
