@@ -110,6 +110,11 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def shard_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9_sharding: sizes and shards, without the checksums and the slots."""
+    return op9_sharding(spark, sf_dir).select("doc_id", "size", "law", "shard", "grown_shard")
+
+
 def mixing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op7_mixing: sizes, and how many words each source holds and may be taken of a document."""
     return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", (F.col("taken") <= 2 * F.col("size")).alias("within"))
@@ -158,11 +163,27 @@ SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS sou
 """
 
 
+def _draw_sql(name: str, weight: str) -> str:
+    return f"-ln((CAST(CAST('0x' || substr(md5(k || '/' || {name}), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / CAST(4503599627370496 AS DOUBLE)) / {weight}"
+
+
+# five regions of two racks of four shards, and a sixth region of one shard
+_SHARDS_SQL = f"""
+WITH keys AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+regions AS (SELECT k, arg_min(i, {_draw_sql("'g' || i", "8.0")}) AS g FROM keys, range(5) r(i) GROUP BY k),
+grown AS (SELECT k, arg_min(i, {_draw_sql("'g' || i", "CASE WHEN i < 5 THEN 8.0 ELSE 1.0 END")}) AS grown FROM keys, range(6) r(i) GROUP BY k),
+racks AS (SELECT k, g, arg_min(j, {_draw_sql("'g' || g || 'r' || j", "4.0")}) AS r FROM regions, range(2) r(j) GROUP BY k, g),
+places AS (SELECT k, arg_min(8 * g + 4 * r + t, {_draw_sql("'g' || g || 'r' || r || 's' || (8 * g + 4 * r + t)", "1.0")}) AS s FROM racks, range(4) r(t) GROUP BY k, g, r)
+SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, 'key' AS law, CAST(s AS INTEGER) AS shard, CAST(CASE WHEN grown = 5 THEN 40 ELSE s END AS INTEGER) AS grown_shard
+FROM documents JOIN places ON k = coalesce(CAST(doc_id AS VARCHAR), '') JOIN grown USING (k)
+"""
+
+
 def queries() -> dict[str, Query]:
     own = (op1_near_dedup, op2_neighbours, op3_quality_rules, op4_pieces, op5_language_model, op6_secret_scan, op7_mixing, op8_language_id, op9_sharding, op10_quality_model)
-    return {q.__name__: q for q in (*own, lid_pages, neighbours_rounded, quality_base, mixing_sizes)}
+    return {q.__name__: q for q in (*own, lid_pages, neighbours_rounded, quality_base, mixing_sizes, shard_draws)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same: not for models, draws and checksums, whose queries are tested against plain Python."""
-    return {"op1_near_dedup": _NEAR_SQL, "neighbours_rounded": _NEIGHBOURS_SQL, "quality_base": _BASE_SQL, "mixing_sizes": _SIZES_SQL}
+    return {"op1_near_dedup": _NEAR_SQL, "neighbours_rounded": _NEIGHBOURS_SQL, "quality_base": _BASE_SQL, "mixing_sizes": _SIZES_SQL, "shard_draws": _SHARDS_SQL}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm._store import stored
 
+_RUN = 10_000  # rows of a group of equal rows that one task makes at once
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -35,8 +37,10 @@ class Tree:
 
 
 def _draw(key: Column, name: str, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11)
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(weight))
+    """The variate, from 52 bits of a hash that any system can work out again."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("/" + name)))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(weight))
 
 
 def _least(key: Column, children: list[tuple[str, float, int]]) -> Column:
@@ -71,19 +75,25 @@ def shard_rows(docs: DataFrame, tree: Tree | None = None, rows_a_cell: int = 50_
     Null doc_ids all go to one shard; rows that repeat a doc_id go to its shard, each
     with a slot of its own. An empty table gives an empty result.
 
-    Slots are dealt in cells of about ``rows_a_cell`` rows, so that no shard is sorted
+    The same rows give the same result on any layout. Slots are dealt in cells of about ``rows_a_cell`` rows, so that no shard is sorted
     in one task: only the number of rows in each cell is added up along a shard.
     """
     tree = tree or Tree.even(5, 2, 4)
     narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"))
     placed = place(place(narrow, "doc_id", tree, "shard"), "doc_id", tree.grown(), "grown_shard")
-    placed = stored(placed.withColumn("spread", F.xxhash64("doc_id", F.monotonically_increasing_id())), "placed")
+    # rows alike in all that is returned are one group with a number, so that the layout of the files decides nothing
+    alike = ["doc_id", "size", "text_crc32", "shard", "grown_shard"]
+    groups = stored(placed.groupBy(*alike).agg(F.count("*").alias("n")), "groups")
     shards = sum(len(rack) for region in tree.regions for rack in region)
-    cells = max(1, -(-placed.count() // (shards * rows_a_cell)))
-    dealt = placed.withColumn("cell", F.pmod("spread", F.lit(cells)).cast("int"))
-    counts = dealt.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    cells = max(1, -(-groups.count() // (shards * rows_a_cell)))
+    dealt = groups.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).cast("int"))
+    counts = dealt.groupBy("shard", "cell").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(counts.select("shard", "cell", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start")), "starts")
-    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "spread")
-    ranked = dealt.withColumn("rank", F.row_number().over(within)).join(starts, ["shard", "cell"])
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), "grown_shard")
+    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["shard", "cell"])
+    # a large group is dealt again in runs before it becomes rows
+    runs = ranked.select(*alike, "n", (F.col("start") + F.col("before")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_RUN).cast("long"))).alias("at"))
+    runs = runs.repartition("doc_id", "text_crc32", "at")
+    slots = runs.select(*alike, F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + _RUN, F.col("n")) - 1)).alias("slot"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

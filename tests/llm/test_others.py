@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brindle.llm.mixing import fit_budget, mix_sources, targets
@@ -195,6 +196,17 @@ def test_sharding(spark, sf):
     assert shard_rows(odd(spark).where("false")).count() == 0
 
 
+def test_slots_do_not_depend_on_the_layout(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(odd(spark).select("doc_id", "text")).unionByName(spark.range(25_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text")))
+    one, two = (sorted(map(tuple, shard_rows(df, rows_a_cell=20).collect()), key=repr) for df in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two and len(one) == docs.count()
+    slots = collections.defaultdict(list)
+    for r in one:
+        slots[r[4]].append(r[5])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_growth_stays_in_its_subtree(spark):
     tree = Tree.even(2, 2, 2)
     heavier = Tree(((((0, 3.0), (1, 1.0)), tree.regions[0][1]), tree.regions[1]))
