@@ -1,9 +1,10 @@
 """Secret scans: candidate strings judged by a random forest, in SQL functions only.
 
 Long mixed runs of token characters are candidates, and so are values of six or more characters that
-are assigned to or quoted after a word such as password or key, and passwords in addresses. A forest of decision trees,
+are assigned to or quoted after a word such as password or key, passwords in addresses, bodies of private keys and signed
+tokens of several parts. A forest of decision trees,
 trained from labelled findings, tells keys and tokens from identifiers, numbers,
-digests, paths and placeholders. It looks at a candidate's length, its character
+digests, paths and placeholders. It looks at a candidate's length, its beginning, its character
 transitions, how much of it a small dictionary covers, its path and the words
 beside it. The trees become CASE expressions, so that a scan is one projection.
 """
@@ -39,12 +40,16 @@ _NAME, _SIGN = f"(?i:{HOLDERS})[\\w\\-]{{0,16}}[\"']?\\]?", "\\s{0,3}(?::=|=>|==
 _QUOTED = f"(?<=[\"'`])(?<={_NAME}(?:{_SIGN}|\\s{{1,3}}|\\s{{1,3}}is\\s{{1,3}})[\"'`])[^\\s\"'`]{{6,}}(?=[\"'`])"
 _BARE = f"(?<=[:=>\\s])(?<=[:=>]\\s{{0,3}})(?<={_NAME}{_SIGN})(?![:=>])(?:(?!&\\w+=)[^\\s\"'`,;<>(){{}}\\[\\]]){{5,}}(?<=[^\\s.,:;!?])"
 _USER = "(?<=:)(?<=://[^\\s:/@]{1,64}:)[^\\s@/]{6,}(?=@)"
-CANDIDATE = f"(?:{_QUOTED}|{_BARE}|{_USER}|(?<![{_RUN}])(?=[A-Za-z_+/\\-]*[0-9])[{_RUN}]{{16,}}={{0,2}})"
+_ARMOURED = "(?<=PRIVATE KEY-----)[\\sA-Za-z0-9+/=]{16,}(?=-----END)"
+_SIGNED = "(?<![\\w.\\-])(?:eyJ[\\w\\-]{8,}\\.eyJ[\\w\\-]{8,}\\.[\\w\\-]+|SG\\.[\\w\\-]{16,}\\.[\\w\\-]{16,})"
+CANDIDATE = f"(?:{_ARMOURED}|{_SIGNED}|{_QUOTED}|{_BARE}|{_USER}|(?<![{_RUN}])(?=[A-Za-z_+/\\-]*[0-9])[{_RUN}]{{16,}}={{0,2}})"
+# How tokens of well-known issuers begin.
+ISSUED = "gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AKIA|ASIA|AIza|npm_|SG\\.|eyJ"
 OTHERS = "sha-?(?:1|256|512)|md5|checksum|digest|hash|commit|revision|etag|uuid|guid|card|order|invoice|phone|tel|isbn|tracking|serial|version|build|id|ref|page|doi"
 FEATURES = (
     "length", "transitions", "distinct", "digits", "uppers", "punctuation", "hexadecimal", "numeric", "dictionary",
     "in_path", "path_names", "placeholder", "holder_near", "holder_at", "other_at", "assigned", "quoted",
-    "signs", "user_at", "called",
+    "signs", "user_at", "called", "issued", "armoured",
 )
 
 
@@ -73,6 +78,8 @@ def features(token: Column, before: Column, after: Column, path: Column) -> Colu
         "assigned": flag(before.rlike("[:=]\\s*[\"'`]?$")),
         "signs": rate("[^A-Za-z0-9_+/=\\-]"),
         "user_at": flag(before.rlike("://[^\\s:/@]+:$") & after.rlike("^@")),
+        "issued": flag(token.rlike(f"^(?:{ISSUED})")),
+        "armoured": flag(before.rlike("PRIVATE KEY-----$")),
         "called": flag(after.rlike("^[(\\[{]") | token.rlike("^[$%]?[A-Za-z_]+(?:\\.[A-Za-z_]+)+$|://")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
     }
@@ -88,7 +95,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     prose = lambda: " ".join(pick(lower, r.randint(2, 9)) for _ in range(r.randint(0, 6)))
     holders = ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private_key", "API-KEY", "bearer"]
     others = ["sha1", "sha256", "md5", "checksum", "commit", "etag", "uuid", "card", "order", "invoice", "tracking", "serial", "id", "ref", "phone"]
-    paths = ["src/app.py", "conf/prod.yml", "", "", "", "tests/test_app.py", "docs/example.md"]
+    live, other = ["src/app.py", "conf/prod.yml", "", "", ""], ["tests/test_app.py", "docs/example.md", "fixtures/a.json", "", "src/app.py", ""]
     # a sign that any digit is present keeps made-up findings among the candidates of a scan
     sure = lambda s: s if any(c in digit for c in s) else s[:-1] + r.choice(digit)
 
@@ -97,6 +104,19 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
         body = pick(hexa, r.choice([32, 40, 40, 48, 64])) if kind < 0.5 else pick(mixed, r.randint(20, 48)) if kind < 0.8 else r.choice(["sk_live_", "ghp_", "xoxb-", "AKIA"]) + pick(mixed, r.randint(16, 36))
         return sure(body.upper() if r.random() < 0.15 else body)
 
+    def issued() -> tuple[str, bool]:
+        kind, fake = r.randrange(5), r.random() < 0.2
+        body = lambda k: r.choice(["x", "0", "X"]) * k if fake else sure(pick(mixed, k))
+        if kind == 0:
+            return r.choice(["ghp_", "gho_", "ghs_", "glpat-", "npm_"]) + body(r.choice([20, 36])), not fake
+        if kind == 1:
+            return r.choice(["AKIA", "ASIA"]) + (r.choice(["EXAMPLE000000000", "XXXXXXXXXXXXXXX0"]) if fake else sure(pick(upper + digit, 16))), not fake
+        if kind == 2:
+            return r.choice(["sk_live_", "rk_live_", "AIza"]) + body(r.randint(24, 35)), not fake
+        if kind == 3:
+            return f"xox{r.choice('abp')}-{pick(digit, 12)}-{body(24)}", not fake
+        return ".".join(["eyJ" + pick(mixed, r.randint(16, 30)), "eyJ" + pick(mixed, r.randint(20, 60)), pick(mixed + "_-", 43)]), True
+
     def innocent() -> str:
         kind = r.randrange(8)
         if kind == 0:
@@ -115,8 +135,19 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
 
     out = []
     for _ in range(n):
-        lead, tail, path = prose(), prose(), r.choice(paths)
+        lead, tail = prose(), prose()
+        if r.random() < 0.12:
+            # a token of a known issuer is one wherever it stands, unless it is a placeholder
+            token, true = issued()
+            opening, closing = r.choice([("", ""), ("(", ")"), ('"', '"'), ("`", "`")])
+            out.append((f"{lead} {r.choice(['', 'use ', 'id: ', 'the '])}{opening}", token, f"{closing} {tail}", r.choice(live if true else other), int(true)))
+            continue
+        if r.random() < 0.04:
+            out.append((f"{lead} -----BEGIN {r.choice(['', 'RSA ', 'EC ', 'OPENSSH '])}PRIVATE KEY-----", "\n" + "\n".join(pick(mixed + "+/", 64) for _ in range(r.randint(1, 12))) + "\n", "-----END ", r.choice(live), 1))
+            continue
+        path = r.choice(other)
         if r.random() < 0.45:
+            path = r.choice(live)
             quote = r.choice(['"', '"', "'", ""])
             name = r.choice(holders)
             name = name.upper() if r.random() < 0.2 else name
@@ -142,8 +173,10 @@ def assigned_findings(n: int, r: random.Random) -> list[tuple[str, str, str, str
 
     def password() -> str:
         kind = r.random()
-        if kind < 0.3:
+        if kind < 0.15:
             return pick(lower + upper + digit, r.randint(7, 15))
+        if kind < 0.3:
+            return pick(lower, r.randint(4, 7)) + pick(digit, r.randint(1, 4)) + pick(lower, r.randint(0, 5))
         if kind < 0.6:
             return pick(lower + upper, r.randint(1, 4)) + r.choice(".!@:$#%^*?~") + pick(lower + upper + digit + ".!@$#%^*?", r.randint(4, 12))
         if kind < 0.8:
@@ -169,8 +202,8 @@ def assigned_findings(n: int, r: random.Random) -> list[tuple[str, str, str, str
         lead, path = " ".join(pick(lower, r.randint(2, 9)) for _ in range(r.randint(0, 6))), r.choice(["src/app.py", "conf/prod.yml", "", "", ""])
         quote, name = r.choice(['"', '"', "'", ""]), r.choice(holders)
         before = f"{lead} {name}{r.choice([' = ', '=', ': ', ':'])}{quote}"
-        if r.random() < 0.15:
-            secret = r.random() < 0.8
+        if r.random() < 0.2:
+            secret = r.random() < 0.9
             out.append((f"{lead} {r.choice(['postgres', 'https', 'mysql', 'ftp'])}://{pick(lower, 5)}:", password() if secret else "password", f"@{pick(lower, 6)}.example/", path, int(secret)))
         elif r.random() < 0.5:
             out.append((before, password(), f"{quote} {word()}", path, 1))
@@ -188,7 +221,7 @@ class Node:
     high: Node | float
 
 
-def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 6, least: int = 4, seed: int = 5) -> list[Node | float]:
+def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = 21, depth: int = 7, least: int = 4, seed: int = 5) -> list[Node | float]:
     """Trees on bootstrap samples, each split on the best of a random few features by Gini impurity."""
     r = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33))) for f in range(x.shape[1])]
