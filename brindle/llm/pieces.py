@@ -85,12 +85,7 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min(self.scores.values(), default=0.0) - 10.0
         self.fits: dict[tuple[str, str], bool] = {}
-        self.tails: dict = {}
-        for piece in self.ids:
-            node = self.tails
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = True
+        self.root, self.added = self._endings() if self.kind == _BPE else None, 0
 
     def _piece(self, spec: dict[int, bytes | int]) -> None:
         text, kind = spec.get(1, b"").decode(), spec.get(3, _NORMAL)
@@ -138,30 +133,57 @@ class PieceModel:
         """The pieces of each of ``words``, which are best sorted."""
         return self._segments_bpe(words) if self.kind == _BPE else self._segments_unigram(words)
 
+    def _endings(self) -> list:
+        """An automaton over characters. A state is [next states, state of the next shorter ending, pieces that end here, longest first]."""
+        root: list = [{}, None, ()]
+        for piece in self.ids:
+            node = root
+            for c in piece:
+                node = node[0].setdefault(c, [{}, root, ()])
+            node[2] = ((len(piece), piece),)
+        level = [(c, node, root) for c, node in root[0].items()]
+        while level:
+            deeper = []
+            for c, node, above in level:
+                back = above[1]
+                while back is not None and c not in back[0]:
+                    back = back[1]
+                node[1] = root if back is None else back[0][c]
+                # a character alone can always stand as a piece
+                rest = node[1][2] if node[1] is not root else ((1, c),)
+                node[2] = rest if node[2][:1] == rest[:1] else node[2] + rest
+                deeper += [(d, child, node) for d, child in node[0].items()]
+            level = deeper
+        return root
+
+    def _step(self, node: list, c: str) -> list:
+        """The state after ``c`` where the model has no longer piece that begins like this."""
+        back = node
+        while back is not None and c not in back[0]:
+            back = back[1]
+        if back is None:
+            return [self.root[0], self.root, ((1, c),)]
+        if self.added < 300_000:
+            self.added += 1
+            node[0][c] = back[0][c]
+        return back[0][c]
+
     def _segments_bpe(self, words: Iterable[str]) -> Iterator[list[str]]:
-        tails, beside, fits = self.tails, self._beside, self.fits
-        before, last, start = "", [""], [0]
+        fits, beside, step = self.fits, self._beside, self._step
+        before, last, start, states = "", [""], [0], [self.root]
         for word in words:
             shared = _shared(before, word)
-            del last[shared + 1 :], start[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                # from the last character backwards through the pieces' endings: where pieces that end here begin
-                node, j, begins = tails, i, []
-                while j:
-                    j -= 1
-                    node = node.get(word[j])
-                    if node is None:
-                        break
-                    if "" in node:
-                        begins.append(j)
-                if not begins or begins[0] != i - 1:
-                    begins.insert(0, i - 1)
-                for j in reversed(begins):
-                    pair = (last[j], word[j:i])
+            del last[shared + 1 :], start[shared + 1 :], states[shared + 1 :]
+            node = states[shared]
+            for i, c in enumerate(word[shared:], shared + 1):
+                node = node[0].get(c) or step(node, c)
+                states.append(node)
+                for size, piece in node[2]:
+                    pair = (last[i - size], piece)
                     ok = fits.get(pair)
                     if beside(*pair) if ok is None else ok:
-                        last.append(pair[1])
-                        start.append(j)
+                        last.append(piece)
+                        start.append(i - size)
                         break
                 else:
                     raise AssertionError(f"no segmentation of {word[:i]!r}")
