@@ -82,10 +82,9 @@ class PieceModel:
             raise ValueError("only unigram and BPE models are supported")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces that cross the start of a word are not supported")
-        self.longest = max(map(len, self.ids), default=1)
         self.floor = min(self.scores.values(), default=0.0) - 10.0
         self.fits: dict[tuple[str, str], bool] = {}
-        self.root, self.added = self._endings() if self.kind == _BPE else None, 0
+        self.root, self.added = self._endings(), 0
 
     def _piece(self, spec: dict[int, bytes | int]) -> None:
         text, kind = spec.get(1, b"").decode(), spec.get(3, _NORMAL)
@@ -136,7 +135,7 @@ class PieceModel:
     def _endings(self) -> list:
         """An automaton over characters. A state is [next states, state of the next shorter ending, pieces that end here, longest first]."""
         root: list = [{}, None, ()]
-        for piece in self.ids:
+        for piece in self.scores:
             node = root
             for c in piece:
                 node = node[0].setdefault(c, [{}, root, ()])
@@ -191,21 +190,25 @@ class PieceModel:
             yield _back(len(word), last, start)
 
     def _segments_unigram(self, words: Iterable[str]) -> Iterator[list[str]]:
-        scores, longest, floor = self.scores, self.longest, self.floor
-        before, best, start = "", [0.0], [0]
+        get, step, floor = self.scores.get, self._step, self.floor
+        before, best, last, start, states = "", [0.0], [""], [0], [self.root]
         for word in words:
             shared = _shared(before, word)
-            del best[shared + 1 :], start[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                top, at = best[i - 1] + scores.get(word[i - 1], floor), i - 1
-                for j in range(max(0, i - longest), i - 1):
-                    score = scores.get(word[j:i])
-                    if score is not None and best[j] + score > top:
-                        top, at = best[j] + score, j
+            del best[shared + 1 :], last[shared + 1 :], start[shared + 1 :], states[shared + 1 :]
+            node = states[shared]
+            for i, c in enumerate(word[shared:], shared + 1):
+                node = node[0].get(c) or step(node, c)
+                top, at, own = float("-inf"), i - 1, c
+                for size, piece in node[2]:  # of equal sums that with the longest last piece counts
+                    score = best[i - size] + get(piece, floor)
+                    if score > top:
+                        top, at, own = score, i - size, piece
+                states.append(node)
                 best.append(top)
+                last.append(own)
                 start.append(at)
             before = word
-            yield _back(len(word), [word[start[i] : i] for i in range(len(word) + 1)], start)
+            yield _back(len(word), last, start)
 
     def piece_ids(self, piece: str) -> list[int]:
         found = self.ids.get(piece)

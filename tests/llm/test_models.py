@@ -7,12 +7,14 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import language_model as lm
+from brindle.llm import quality_model as qm
 from brindle.llm.language import identify_languages
 from brindle.llm.quality_model import quality_scores
 from brindle.llm.quality_rules import quality_rules, text_stats
-from brindle.llm.queries import op3_quality_rules, op5_language_model, op8_language_id, op10_quality_model
+from brindle.llm.queries import lid_pages, op3_quality_rules, op5_language_model, op8_language_id, op10_quality_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, None), (2, ""), (3, "\n\n"), (4, "word"), (4, "word"), (None, "a b c d e f a b c d e"), (6, "long " * 20000), (7, "Zeile eins\nZeile eins\n\nx")]
@@ -76,6 +78,32 @@ def test_quality_model(spark):
     assert quality_scores(odd(spark).where("false"), no_labels(spark)).count() == 0
 
 
+def test_scores_are_sums_of_tables(spark, sf):
+    text = {d["doc_id"]: d["text"] for d in docs_of(spark, sf)}
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in text and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    order = [r["doc_id"] for r in spark.createDataFrame([(d,) for d in quality], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    model = qm.fit(qm.text_features([text[d] for d in order]), np.array([quality[d] for d in order]))
+    for r in op10_quality_model(spark, sf).collect():
+        x = qm.text_features([text[r["doc_id"]]])[0]
+        b = [sum(v > bound for bound in bounds) for v, bounds in zip(x, model.bounds)]
+        z = model.base + sum(t[i] for t, i in zip(model.tables, b)) + sum(t[b[i]][b[j]] for (i, j), t in model.pairs.items())
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-6)
+
+
+def test_verdicts_are_those_of_the_list(spark, sf):
+    from brindle.llm.quality_rules import FEATURES, learn_list
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    made = {r["doc_id"]: r for r in text_stats(docs).collect()}
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in made}
+    order = [r["doc_id"] for r in spark.createDataFrame([(d,) for d in quality], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rules = learn_list({f: np.array([made[d][f] for d in order]) for f in FEATURES}, np.array([quality[d] == 0 for d in order]))
+    meets = lambda rule, r: all(r[t.feature] > t.bound if t.above else r[t.feature] <= t.bound for t in rule)
+    assert rules
+    for r in op3_quality_rules(spark, sf).collect():
+        assert r["rule"] == next((i for i, rule in enumerate(rules, 1) if meets(rule, made[r["doc_id"]])), 0)
+
+
 def test_languages(spark, sf):
     lang = {d["doc_id"]: d["lang"] for d in docs_of(spark, sf)}
     out = op8_language_id(spark, sf).collect()
@@ -83,6 +111,70 @@ def test_languages(spark, sf):
     assert sum(r["pred_lang"] == lang[r["doc_id"]] and r["accepted"] for r in out) >= 0.99 * len(lang)
 
 
+def fused(spark, rows, weight=20.0, most=60, least=0.6):
+    """Posteriors by plain loops from (key, text, declared, host, domain, suffix): the text model is the operator's, all counts are made here."""
+    from brindle.llm.language import _trained
+
+    docs = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "doc_id long, text string, lang string")
+    model = _trained(docs, "doc_id", "text", "lang", 4000, 256)
+    names, (logs, n) = model.languages, model.logs([r[1] for r in rows], most)
+    text_lang = [names[int(x.argmax())] if k else None for x, k in zip(logs, n)]
+    seen = [collections.defaultdict(collections.Counter) for _ in range(4)]
+    overall = collections.Counter(x for x in text_lang if x)
+    for r, x in zip(rows, text_lang):
+        for kind in range(4):
+            if x and r[2 + kind] is not None:
+                seen[kind][r[2 + kind]][x] += 1
+    base = {x: (overall[x] + 1) / (sum(overall.values()) + len(names)) for x in names}
+
+    def prior(kind, value, back):
+        c = seen[kind].get(value) if value is not None else None
+        return back if c is None else {x: (c[x] + weight * back[x]) / (sum(c.values()) + weight) for x in names}
+
+    out = []
+    for r, own, k, by_text in zip(rows, logs, n, text_lang):
+        host = prior(1, r[3], prior(2, r[4], base))
+        declared, suffix = prior(0, r[2], base), prior(3, r[5], base)
+        z = [own[i] + math.log(host[x] * declared[x] / base[x] * suffix[x] / base[x]) for i, x in enumerate(names)]
+        top = max(z)
+        posterior = 1 / sum(math.exp(v - top) for v in z)
+        out.append((r[0], by_text, names[z.index(top)], posterior, bool(posterior >= least and k)))
+    return out
+
+
+def same_languages(got, want, key):
+    got = {r[key]: r for r in got}
+    return len(got) == len(want) and all(
+        (got[k]["text_lang"], got[k]["pred_lang"], got[k]["accepted"]) == (text, pred, fine) and math.isclose(got[k]["posterior"], p, rel_tol=1e-6) for k, text, pred, p, fine in want
+    )
+
+
+def test_evidence_is_fused_as_by_hand(spark, sf):
+    rows = [(d["doc_id"], d["text"], d["lang"], d["source"], None, None) for d in docs_of(spark, sf)]
+    assert same_languages(op8_language_id(spark, sf).collect(), fused(spark, rows), "doc_id")
+
+
+def test_pages_are_fused_as_by_hand(spark, sf):
+    rows = []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        bare = re.sub(r"(?is)<(script|style|nav)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ", r["html"])
+        tag, host = re.search("(?i)<html[^>]*\\blang=[\"']?([a-z]+)", r["html"]), re.match("^[a-z]+://([^/:?#]+)", r["url"])
+        host = host.group(1).lower() if host else ""
+        domain, suffix = re.search("([^.]+\\.[^.]+)$", host), re.search("\\.([^.]+)$", host)
+        rows.append((r["page_id"], bare, tag and tag.group(1), host or None, domain and domain.group(1), suffix and suffix.group(1)))
+    assert same_languages(lid_pages(spark, sf).collect(), fused(spark, rows), "page_id")
+
+
+def test_languages_without_and_against_the_declaration(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 80")
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    wrong = F.when(F.col("lang") == "en", "de").otherwise("en")
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.lit(None)).when(F.col("doc_id") % 25 == 1, wrong).otherwise(F.col("lang")))
+    out = identify_languages(hidden).collect()
+    for some in ([r for r in out if r["doc_id"] % 2 == 0], [r for r in out if r["doc_id"] % 25 == 1 and r["doc_id"] % 2]):
+        assert len(some) > 10 and sum(r["pred_lang"] == truth[r["doc_id"]] for r in some) >= 0.97 * len(some)
+
+
 def test_languages_odd(spark, sf):
     out = identify_languages(odd(spark)).collect()
     assert len(out) == len(ODD) and not any(r["accepted"] for r in out)

@@ -2,7 +2,9 @@
 
 import collections
 import json
+import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -17,10 +19,21 @@ from brindle.llm.queries import op6_secret_scan, op7_mixing, op9_sharding, piece
 from brindle.llm.secrets import FEATURES, Node, features, forest_score, labelled_findings, scan_secrets, train_forest
 from brindle.llm.sharding import Tree, place, shard_rows
 
-sentencepiece = pytest.importorskip("sentencepiece")
 ODD = [(1, None, "s"), (2, "", None), (3, "one two", "s"), (3, "one two", "s"), (None, "three", "t"), (6, "long " * 20000, "\U0001f600")]
 
 
+def library_of(blob):
+    return pytest.importorskip("sentencepiece").SentencePieceProcessor(model_proto=blob)
+
+
+def unigram_model(scores):
+    """The bytes of a unigram model with these pieces, written by hand."""
+    part = lambda number, data: bytes([number << 3 | 2, len(data)]) + data
+    piece = lambda text, score, kind: part(1, part(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
+    pieces = [piece("<unk>", 0.0, 2), *(piece(t, x, 1) for t, x in scores.items())]
+    return b"".join(pieces) + part(2, bytes([3 << 3, 1])) + part(3, part(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 1, 5 << 3, 1]))
+
+
 def odd(spark):
     return spark.createDataFrame([(d, t, s, "en", 1, 0) for d, t, s in ODD], "doc_id long, text string, source string, lang string, n_chars long, size int")
 
@@ -96,7 +109,7 @@ def test_tree_of_equal_vectors():
 
 def test_pieces_equal_the_library(spark, sf):
     blob = piece_model()
-    library = sentencepiece.SentencePieceProcessor(model_proto=blob)
+    library = library_of(blob)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     coded = encode_documents(docs, blob)
@@ -110,7 +123,7 @@ def test_pieces_of_odd_texts(text):
     blob = piece_model()
     model = PieceModel(blob)
     ids = model.encode(text)
-    assert ids == sentencepiece.SentencePieceProcessor(model_proto=blob).encode(text)
+    assert ids == library_of(blob).encode(text)
     assert model.decode(ids) == text.replace(MARK, " ")
 
 
@@ -120,6 +133,7 @@ def test_unigram_viterbi():
     for word, pieces in zip(["abc", "abd"], model.segments(["abc", "abd"])):
         assert "".join(pieces) == word
     model.scores = {"a": -1.0, "b": -1.0, "ab": -1.5, "c": -1.0, "bc": -3.0}
+    model.root = model._endings()
     assert list(model.segments(["abc", "abca"])) == [["ab", "c"], ["ab", "c", "a"]]
 
 
@@ -193,6 +207,25 @@ def test_known_forms(spark):
     assert all((r["_x"], r["_score"]) == ("keep", 1.5) for r in got)
 
 
+def test_unigram_segments_have_the_best_score():
+    r = random.Random(4)
+    for _ in range(30):
+        pieces = {MARK: -4.0, **{c: -r.uniform(3, 6) for c in "abc"}}
+        while len(pieces) < 14:
+            pieces["".join(r.choices("abc", k=r.randint(2, 4)))] = -r.uniform(1, 7)
+        model = PieceModel(unigram_model(pieces))
+        words = sorted(MARK + "".join(r.choices("abc", k=r.randint(1, 9))) for _ in range(20))
+
+        def best(word):
+            return max((model.scores[word[:i]] + best(word[i:]) for i in range(1, len(word) + 1) if word[:i] in model.scores), default=0.0 if not word else float("-inf"))
+
+        library = library_of(model.blob)
+        for word, own in zip(words, model.segments(words)):
+            theirs = library.encode(word[1:], out_type=str)
+            assert abs(sum(model.scores[p] for p in own) - sum(model.scores[p] for p in theirs)) < 1e-4
+            assert "".join(own) == word and abs(sum(model.scores[p] for p in own) - best(word)) < 1e-5
+
+
 def test_budget():
     assert targets([("a", 100), ("b", 100), (None, 100)], (5, 2, 1), 1.5, 2.0) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     lengths, counts = [3, 7, 50, 901], [5, 3, 40, 12]
@@ -220,6 +253,32 @@ def test_mixing(spark):
     assert len(out) == len(ODD) and mix_sources(odd(spark).where("false")).count() == 0
 
 
+def test_copies_are_those_of_the_plan(spark, sf):
+    docs = [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    words = collections.Counter()
+    for _, n, source in docs:
+        words[source] += n
+    known = sorted(words.items(), key=lambda x: (x[0] is None, x[0] or ""))
+    draws = {r["d"]: r["x"] & (1 << 64) - 1 for r in spark.createDataFrame([(d,) for d, _, _ in docs], "d long").select("d", F.xxhash64("d", F.lit(17)).alias("x")).collect()}
+    want = {}
+    for (source, total), target in zip(known, targets(known, (5, 2, 1), 1.5, 2.0)):
+        whole = min(int(target // total), 2) if total else 0
+        mine = collections.defaultdict(list)
+        for d, n, s in docs:
+            want.setdefault(d, 0)
+            if s == source and n:
+                mine[n].append(d)
+                want[d] = whole * n
+        sizes = sorted(mine)
+        extra = fit_budget(sizes, [len(mine[n]) for n in sizes], max(0, round(target) - whole * total))
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for n, k in zip(sizes, extra):
+            cells = max(1, -(-len(mine[n]) // 2048))
+            for d in sorted(mine[n], key=lambda d: ((draws[d] >> 32) % cells, signed(draws[d]), d))[:k]:
+                want[d] += n
+    assert {r["doc_id"]: r["taken"] for r in op7_mixing(spark, sf).collect()} == want
+
+
 def test_sharding(spark, sf):
     rows = op9_sharding(spark, sf).collect()
     slots = collections.defaultdict(list)
