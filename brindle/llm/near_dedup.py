@@ -8,7 +8,7 @@ rank. Signatures are cut into bands. Sets that share a band and whose signatures
 are near enough go to one family, by union-find; inside a family all links are
 found on full sets, and joined by union-find again.
 
-Neither step emits pairs. A task holds a bounded block of sets, compares them in
+But for two leaders of each bucket that meet its members, no step emits pairs. A task holds a bounded block of sets, compares them in
 memory and gives back only the links that join what was apart, so rows stay linear
 in the sets however large a bucket or a family is.
 """
