@@ -59,6 +59,40 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
         at += size
 
 
+class _Piece:
+    """A piece, its id or else its only character, and which pieces it may stand right of."""
+
+    __slots__ = ("text", "size", "code", "score", "fits")
+
+    def __init__(self, text: str, code: int | str, score: float):
+        self.text, self.size, self.code, self.score = text, len(text), code, score
+        self.fits: dict[_Piece | None, bool] = {}
+
+
+class _State(dict):
+    """A state of an automaton over characters: next states by character, the state of the next shorter ending,
+    and the pieces that end here, longest first."""
+
+    __slots__ = ("model", "back", "endings")
+
+    def __init__(self, model: PieceModel, back: _State | None = None):
+        self.model, self.back, self.endings = model, back, ()
+
+    def __missing__(self, c: str) -> _State:
+        """The next state where no longer piece of the model begins like this."""
+        back = self.back
+        while back is not None and c not in back:
+            back = back.back
+        if back is None:
+            state = _State(self.model, self.model.root)
+            state.endings = (self.model.alone(c),)
+            return state
+        if self.model.added < 300_000:
+            self.model.added += 1
+            self[c] = back[c]
+        return back[c]
+
+
 class PieceModel:
     def __init__(self, blob: bytes):
         self.blob = blob
@@ -83,8 +117,9 @@ class PieceModel:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces that cross the start of a word are not supported")
         self.floor = min(self.scores.values(), default=0.0) - 10.0
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.root, self.added = self._endings(), 0
+        self.known: dict[str, _Piece] = {}
+        self.judged = self.added = 0
+        self.root = self._automaton()
 
     def _piece(self, spec: dict[int, bytes | int]) -> None:
         text, kind = spec.get(1, b"").decode(), spec.get(3, _NORMAL)
@@ -120,95 +155,98 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _beside(self, left: str, right: str) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            found = self.fits[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+    def _beside(self, left: _Piece | None, right: _Piece) -> bool:
+        """Whether merges leave ``right`` whole beside ``left``, or at the start of a word."""
+        if self.judged > 500_000:
+            self.judged = 0
+            for piece in self.known.values():
+                piece.fits.clear()
+        self.judged += 1
+        texts = [left.text, right.text] if left else [right.text]
+        found = right.fits[left] = self.merged("".join(texts)) == texts
         return found
 
+    def coded(self, words: Iterable[str]) -> Iterator[list[int | str]]:
+        """The pieces' ids of each of ``words``, which are best sorted; a character that is no piece stands for itself."""
+        return self._coded_bpe(words) if self.kind == _BPE else self._coded_unigram(words)
+
     def segments(self, words: Iterable[str]) -> Iterator[list[str]]:
         """The pieces of each of ``words``, which are best sorted."""
-        return self._segments_bpe(words) if self.kind == _BPE else self._segments_unigram(words)
-
-    def _endings(self) -> list:
-        """An automaton over characters. A state is [next states, state of the next shorter ending, pieces that end here, longest first]."""
-        root: list = [{}, None, ()]
-        for piece in self.scores:
+        for own in self.coded(words):
+            yield [x if isinstance(x, str) else self.pieces[x] for x in own]
+
+    def alone(self, c: str) -> _Piece:
+        """A character as a piece, which it can always be."""
+        piece = self.known.get(c)
+        if piece is None:
+            piece = _Piece(c, c, self.floor)
+            if len(self.known) < 100_000:
+                self.known[c] = piece
+        return piece
+
+    def _automaton(self) -> _State:
+        root = _State(self)
+        for text, score in self.scores.items():
             node = root
-            for c in piece:
-                node = node[0].setdefault(c, [{}, root, ()])
-            node[2] = ((len(piece), piece),)
-        level = [(c, node, root) for c, node in root[0].items()]
+            for c in text:
+                if c not in node:
+                    node[c] = _State(self, root)
+                node = node[c]
+            piece = self.known[text] = _Piece(text, self.ids[text], score)
+            node.endings = (piece,)
+        level = [(c, node, root) for c, node in root.items()]
         while level:
             deeper = []
             for c, node, above in level:
-                back = above[1]
-                while back is not None and c not in back[0]:
-                    back = back[1]
-                node[1] = root if back is None else back[0][c]
-                # a character alone can always stand as a piece
-                rest = node[1][2] if node[1] is not root else ((1, c),)
-                node[2] = rest if node[2][:1] == rest[:1] else node[2] + rest
-                deeper += [(d, child, node) for d, child in node[0].items()]
+                back = above.back
+                while back is not None and c not in back:
+                    back = back.back
+                node.back = root if back is None else back[c]
+                rest = node.back.endings if node.back is not root else (self.alone(c),)
+                node.endings = rest if node.endings[:1] == rest[:1] else node.endings + rest
+                deeper += [(d, child, node) for d, child in node.items()]
             level = deeper
         return root
 
-    def _step(self, node: list, c: str) -> list:
-        """The state after ``c`` where the model has no longer piece that begins like this."""
-        back = node
-        while back is not None and c not in back[0]:
-            back = back[1]
-        if back is None:
-            return [self.root[0], self.root, ((1, c),)]
-        if self.added < 300_000:
-            self.added += 1
-            node[0][c] = back[0][c]
-        return back[0][c]
-
-    def _segments_bpe(self, words: Iterable[str]) -> Iterator[list[str]]:
-        fits, beside, step = self.fits, self._beside, self._step
-        before, last, start, states = "", [""], [0], [self.root]
+    def _coded_bpe(self, words: Iterable[str]) -> Iterator[list[int | str]]:
+        beside = self._beside
+        before, last, states = "", [None], [self.root]
         for word in words:
             shared = _shared(before, word)
-            del last[shared + 1 :], start[shared + 1 :], states[shared + 1 :]
+            del last[shared + 1 :], states[shared + 1 :]
             node = states[shared]
             for i, c in enumerate(word[shared:], shared + 1):
-                node = node[0].get(c) or step(node, c)
+                node = node[c]
                 states.append(node)
-                for size, piece in node[2]:
-                    pair = (last[i - size], piece)
-                    ok = fits.get(pair)
-                    if beside(*pair) if ok is None else ok:
+                for piece in node.endings:
+                    left = last[i - piece.size]
+                    ok = piece.fits.get(left)
+                    if beside(left, piece) if ok is None else ok:
                         last.append(piece)
-                        start.append(i - size)
                         break
                 else:
                     raise AssertionError(f"no segmentation of {word[:i]!r}")
             before = word
-            yield _back(len(word), last, start)
+            yield _back(len(word), last)
 
-    def _segments_unigram(self, words: Iterable[str]) -> Iterator[list[str]]:
-        get, step, floor = self.scores.get, self._step, self.floor
-        before, best, last, start, states = "", [0.0], [""], [0], [self.root]
+    def _coded_unigram(self, words: Iterable[str]) -> Iterator[list[int | str]]:
+        before, best, last, states = "", [0.0], [None], [self.root]
         for word in words:
             shared = _shared(before, word)
-            del best[shared + 1 :], last[shared + 1 :], start[shared + 1 :], states[shared + 1 :]
+            del best[shared + 1 :], last[shared + 1 :], states[shared + 1 :]
             node = states[shared]
             for i, c in enumerate(word[shared:], shared + 1):
-                node = node[0].get(c) or step(node, c)
-                top, at, own = float("-inf"), i - 1, c
-                for size, piece in node[2]:  # of equal sums that with the longest last piece counts
-                    score = best[i - size] + get(piece, floor)
+                node = node[c]
+                top, own = float("-inf"), None
+                for piece in node.endings:  # of equal sums that with the longest last piece counts
+                    score = best[i - piece.size] + piece.score
                     if score > top:
-                        top, at, own = score, i - size, piece
+                        top, own = score, piece
                 states.append(node)
                 best.append(top)
                 last.append(own)
-                start.append(at)
             before = word
-            yield _back(len(word), last, start)
+            yield _back(len(word), last)
 
     def piece_ids(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
@@ -255,11 +293,12 @@ def _shared(a: str, b: str) -> int:
     return k
 
 
-def _back(at: int, last: list[str], start: list[int]) -> list[str]:
+def _back(at: int, last: list[_Piece | None]) -> list[int | str]:
     out = []
     while at:
-        out.append(last[at])
-        at = start[at]
+        piece = last[at]
+        out.append(piece.code)
+        at -= piece.size
     out.reverse()
     return out
 
@@ -290,19 +329,20 @@ class Lexicon:
             self.ends.append(len(self.flat))
             self.codes[word] = len(self.codes)
             self.spelling.append(said[code])
-        fresh, get = sorted(new.difference(known)), self.model.ids.get
+        fresh = sorted(new.difference(known))
         marked = [MARK + w if self.model.dummy_prefix and w[0] != MARK else w for w in fresh]
-        for word, whole, pieces in zip(fresh, marked, self.model.segments(marked)):
-            at, numbers = len(self.flat), [get(piece) for piece in pieces]
-            if None in numbers:
+        flat, first = self.flat, len(self.codes)
+        self.codes.update(zip(fresh, range(first, first + len(fresh))))
+        self.spelling += marked  # pieces of the model are spelled as they stand
+        for code, pieces in enumerate(self.model.coded(marked), first):
+            try:
+                flat.fromlist(pieces)
+            except TypeError:  # with characters that are no piece
+                at = len(flat)
                 for piece in pieces:
-                    self.flat.extend(self.model.piece_ids(piece))
-                whole = self.model.spelled(self.flat[at:])
-            else:  # pieces of the model are spelled as they stand
-                self.flat.extend(numbers)
-            self.ends.append(len(self.flat))
-            self.codes[word] = len(self.codes)
-            self.spelling.append(whole)
+                    flat.extend([piece] if isinstance(piece, int) else self.model.piece_ids(piece))
+                self.spelling[code] = self.model.spelled(flat[at:])
+            self.ends.append(len(flat))
 
     def _words(self, text: str) -> list[str]:
         """Marked words; where each has one mark, plain words that stand for them."""

@@ -132,8 +132,7 @@ def test_unigram_viterbi():
     model.kind = 1
     for word, pieces in zip(["abc", "abd"], model.segments(["abc", "abd"])):
         assert "".join(pieces) == word
-    model.scores = {"a": -1.0, "b": -1.0, "ab": -1.5, "c": -1.0, "bc": -3.0}
-    model.root = model._endings()
+    model = PieceModel(unigram_model({"a": -1.0, "b": -1.0, "ab": -1.5, "c": -1.0, "bc": -3.0}))
     assert list(model.segments(["abc", "abca"])) == [["ab", "c"], ["ab", "c", "a"]]
 
 
