@@ -20,6 +20,23 @@ def duck(sf):
     return con
 
 
+@pytest.fixture(scope="module")
+def odd_pages(spark, tmp_path_factory):
+    """A folder of pages where a url is stored twice, one has no page and one page has no url, and pages link to each other."""
+    link = lambda *to: "".join(f'<a href="{x}">x</a>' for x in to)
+    rows = [(0, "http://h:80/a", link("/b", "/c")), (1, "http://h:80/a", link("/b")), (2, "http://h:80/b", link("/a")), (3, "http://h:80/c", None), (4, None, link("/a")), (5, "https://o:443/d", link("http://h/a", "#"))]
+    folder = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+def _same_as_sql(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    df, want = QUERIES[name](spark, folder), con.execute(ORACLE[name])
+    assert _rows(df.columns, df.collect()) == _rows([c[0] for c in want.description], want.fetchall())
+
+
 def _rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     flat = lambda v: round(v, 6) if isinstance(v, float) else v
@@ -54,3 +71,7 @@ def test_whole_upsert_and_merge(spark, sf):
 def test_posting_cap_is_the_operators(spark):
     postings = spark.range(rank.POSTING_CAP + 7).select(F.col("id").alias("doc_id"), F.lit("w").alias("term"), F.lit(1).alias("tf"))
     assert rank.capped(postings).count() == rank.POSTING_CAP and rank.capped(postings, 20).count() == 20
+
+
+def test_each_stored_page_is_fetched_once(spark, odd_pages):
+    _same_as_sql(spark, odd_pages, "fetch_pages")
