@@ -24,7 +24,7 @@ def duck(sf):
 def odd_pages(spark, tmp_path_factory):
     """A folder of pages where a url is stored twice, one has no page and one page has no url, and pages link to each other."""
     link = lambda *to: "".join(f'<a href="{x}">x</a>' for x in to)
-    rows = [(0, "http://h:80/a", link("/b", "/c")), (1, "http://h:80/a", link("/b")), (2, "http://h:80/b", link("/a")), (3, "http://h:80/c", None), (4, None, link("/a")), (5, "https://o:443/d", link("http://h/a", "#"))]
+    rows = [(0, "http://h:80/a", link("/b", "/c")), (1, "http://h:80/a", link("/b")), (2, "http://h:80/b", link("/a")), (3, "http://h:80/c", None), (4, None, link("/a")), (5, "https://o:443/d", link("/x", "#"))]
     folder = str(tmp_path_factory.mktemp("odd"))
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return folder
@@ -75,3 +75,8 @@ def test_posting_cap_is_the_operators(spark):
 
 def test_each_stored_page_is_fetched_once(spark, odd_pages):
     _same_as_sql(spark, odd_pages, "fetch_pages")
+
+
+def test_each_stored_page_is_ranked(spark, odd_pages):
+    nodes = [r["node"] for r in QUERIES["pagerank_pages"](spark, odd_pages).collect()]
+    assert sorted(nodes, key=str) == sorted([None, "http://h:80/a", "http://h:80/a", "http://h:80/b", "http://h:80/c", "https://o:443/d"], key=str)
