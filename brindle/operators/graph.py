@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +14,14 @@ from brindle.sources.tables import ensure_checkpoints
 DAMPING, REST = 0.85, 0.15
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, epsilon: float = 0.01, percent: float = 100.0, max_iter: int = 50, exact_iterations: int | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, epsilon: float = 0.01, percent: float = 100.0, max_iter: int | None = None, exact_iterations: int | None = None) -> DataFrame:
     """(node, rank) from ``nodes(node)`` and ``edges(src, dst)``.
 
     Ranks begin at 1; each turn gives 0.15 and 0.85 of the rank shared out over a node's distinct
     links. Links to unknown nodes and the rank of nodes without links are lost. It ends when
-    ``percent`` of the nodes moved by ``epsilon`` at most, or after ``max_iter`` turns. Each turn is one join and one
-    aggregation on the destination; ranks are checkpointed, so the plan does not grow.
+    ``percent`` of the nodes moved by ``epsilon`` at most, or after ``max_iter`` turns if given; all moves together shrink
+    to 0.85 a turn, so it ends for any ``epsilon`` above 0. Each turn is one join and one aggregation on the destination;
+    ranks are checkpointed, so the plan does not grow.
     """
     ensure_checkpoints(nodes.sparkSession)
     ranks = nodes.select("node").distinct().withColumn("rank", F.lit(1.0)).checkpoint()
@@ -28,7 +30,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, epsilon: float = 0.01, percent:
     links = edges.select("src", "dst").distinct().where("src is not null and dst is not null")
     degrees = links.groupBy("src").agg(F.count("*").alias("degree"))
     links = links.join(degrees, "src").repartition("src").checkpoint()
-    for _ in range(exact_iterations or max_iter):
+    most = exact_iterations or max_iter
+    for _ in count() if most is None else range(most):
         given = links.join(ranks.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.sum(DAMPING * F.col("rank") / F.col("degree")).alias("got"))
         new = ranks.join(given.withColumnRenamed("dst", "node"), "node", "left").select("node", (REST + F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("before"))
         new = new.checkpoint()

@@ -80,3 +80,12 @@ def test_each_stored_page_is_fetched_once(spark, odd_pages):
 def test_each_stored_page_is_ranked(spark, odd_pages):
     nodes = [r["node"] for r in QUERIES["pagerank_pages"](spark, odd_pages).collect()]
     assert sorted(nodes, key=str) == sorted([None, "http://h:80/a", "http://h:80/a", "http://h:80/b", "http://h:80/c", "https://o:443/d"], key=str)
+
+
+def test_ranks_of_linked_pages_settle(spark, odd_pages):
+    _same_as_sql(spark, odd_pages, "pagerank_pages")
+    ranks = [(r["node"], r["rank"]) for r in QUERIES["pagerank_pages"](spark, odd_pages).collect()]
+    assert len(ranks) == 6 and ranks.count((None, 0.15)) == 1
+    a, b = dict(ranks)["http://h:80/a"], dict(ranks)["http://h:80/b"]
+    # a links to b and c, and b back to a: r(a) = 0.15 + 0.85 r(b), r(b) = 0.15 + 0.425 r(a)
+    assert abs(a - 0.2775 / 0.63875) < 0.03 and abs(b - 0.15 - 0.425 * a) < 0.01
