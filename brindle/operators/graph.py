@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.urls import extract_links, normalise_links
@@ -14,8 +14,8 @@ from brindle.sources.tables import ensure_checkpoints
 DAMPING, REST = 0.85, 0.15
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, epsilon: float = 0.01, percent: float = 100.0, max_iter: int | None = None, exact_iterations: int | None = None) -> DataFrame:
-    """(node, rank) from ``nodes(node)`` and ``edges(src, dst)``.
+def pagerank(nodes: DataFrame | None, edges: DataFrame, epsilon: float = 0.01, percent: float = 100.0, max_iter: int | None = None, exact_iterations: int | None = None) -> DataFrame:
+    """(node, rank) from ``nodes(node)`` and ``edges(src, dst)``; without nodes, those of the edges.
 
     Ranks begin at 1; each turn gives 0.15 and 0.85 of the rank shared out over a node's distinct
     links. Links to unknown nodes and the rank of nodes without links are lost. It ends when
@@ -23,25 +23,54 @@ def pagerank(nodes: DataFrame, edges: DataFrame, epsilon: float = 0.01, percent:
     to 0.85 a turn, so it ends for any ``epsilon`` above 0. Each turn is one join and one aggregation on the destination;
     ranks are checkpointed, so the plan does not grow.
     """
-    ensure_checkpoints(nodes.sparkSession)
+    ensure_checkpoints(edges.sparkSession)
+    links = dealt(adjacency(edges))
+    if nodes is None:
+        nodes = links.select("src").union(links.select(F.explode("dsts"))).withColumnRenamed("src", "node")
     ranks = nodes.select("node").distinct().withColumn("rank", F.lit(1.0)).checkpoint()
     if ranks.isEmpty():
+        links.unpersist()
         return ranks
-    links = edges.select("src", "dst").distinct().where("src is not null and dst is not null")
-    degrees = links.groupBy("src").agg(F.count("*").alias("degree"))
-    links = links.join(degrees, "src").repartition("src").checkpoint()
     most = exact_iterations or max_iter
     for _ in count() if most is None else range(most):
-        given = links.join(ranks.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.sum(DAMPING * F.col("rank") / F.col("degree")).alias("got"))
+        shares = links.join(ranks, links["src"] == ranks["node"]).select(F.explode("dsts").alias("dst"), (DAMPING * F.col("rank") / F.col("degree")).alias("share"))
+        given = shares.groupBy("dst").agg(F.sum("share").alias("got"))
         new = ranks.join(given.withColumnRenamed("dst", "node"), "node", "left").select("node", (REST + F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("before"))
         new = new.checkpoint()
         ranks = new.select("node", "rank")
         if exact_iterations is None:
             if settled(new, epsilon).first()[0] >= percent:
                 break
+    links.unpersist()
     return ranks
 
 
+def adjacency(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(src, degree, dsts) of the distinct ``edges(src, dst)``: one row for most sources, of about ``most`` links at the most.
+
+    Edges are dealt once, by source; the rest needs no other exchange.
+    """
+    links = edges.select("src", "dst").where("src is not null and dst is not null").repartition("src").distinct()
+    links = links.withColumn("degree", F.count("*").over(Window.partitionBy("src")))
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / most))
+    return links.groupBy("src", "degree", part.alias("part")).agg(F.collect_list("dst").alias("dsts")).drop("part")
+
+
+def dealt(links: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """Adjacency rows kept by source in tasks of about ``most`` links, so that turns don't move them.
+
+    What a task gives to a node is one row, so fewer and larger tasks send less. A checkpoint forgets how it was dealt, so the rows
+    are persisted; if lost they are read from their checkpoint again.
+    """
+    ensure_checkpoints(links.sparkSession)
+    links = links.checkpoint()
+    size = links.agg(F.sum(F.size("dsts"))).first()[0] or 0
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-size // most))
+    links = links.repartition(tasks, "src").persist()
+    links.count()  # only rows that are there tell Spark how they are dealt
+    return links
+
+
 def settled(moves: DataFrame, epsilon: float) -> DataFrame:
     """One row ``percent``: how many of ``moves(rank, before)`` moved by ``epsilon`` at most."""
     return moves.agg(F.avg(F.when(F.abs(F.col("rank") - F.col("before")) <= epsilon, 100.0).otherwise(0.0)).alias("percent"))

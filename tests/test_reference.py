@@ -161,3 +161,19 @@ def test_stream(spark, tmp_path):
     run()
     got = current_postings(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted(map(tuple, got)) == [("b", 2, 1), ("c", 1, 1)]
+
+
+def test_links_are_dealt_once(spark):
+    rows = [("hub", f"n{i}") for i in range(50)] * 2 + [("a", "hub"), ("a", None), (None, "a")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    got = graph.adjacency(edges, most=10).collect()
+    assert sorted((r["src"], r["degree"], x) for r in got for x in r["dsts"]) == sorted([("hub", 50, f"n{i}") for i in range(50)] + [("a", 1, "hub")])
+    assert len(got) > 3 and max(len(r["dsts"]) for r in got) < 50
+    # a join of the kept rows by source moves the ranks only
+    links = graph.dealt(graph.adjacency(edges), most=5)
+    ranks = spark.range(10).select(F.col("id").cast("string").alias("node"))
+    plan = links.hint("merge").join(ranks, links["src"] == ranks["node"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(node") == 1 and plan.count("ENSURE_REQUIREMENTS") == 1
+    links.unpersist()
+    ranks = {r["node"]: r["rank"] for r in graph.pagerank(None, edges, exact_iterations=1).collect()}
+    assert len(ranks) == 52 and ranks["hub"] == 1.0 and ranks["a"] == 0.15 and ranks["n7"] == pytest.approx(0.15 + 0.85 / 50)
