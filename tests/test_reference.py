@@ -177,3 +177,15 @@ def test_links_are_dealt_once(spark):
     links.unpersist()
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(None, edges, exact_iterations=1).collect()}
     assert len(ranks) == 52 and ranks["hub"] == 1.0 and ranks["a"] == 0.15 and ranks["n7"] == pytest.approx(0.15 + 0.85 / 50)
+
+
+def test_counts_stay_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "run b run"), (2, "runs running b"), (3, None), (4, " "), (5, "é")], "doc_id long, text string")
+    count = lambda d, stems=True: index.postings_count(d, T.tokens("text"), stems)
+    want = {("run", 1, 2), ("b", 1, 1), ("runs", 2, 1), ("running", 2, 1), ("run", 2, 2), ("b", 2, 1), ("é", 5, 1)}
+    assert sorted(map(tuple, count(docs).collect())) == sorted(want)
+    assert "Exchange" not in count(docs)._jdf.queryExecution().executedPlan().toString()
+    # a document of several rows is put together
+    split = spark.createDataFrame([(1, "run b"), (1, "run"), (2, "runs running b"), (5, "é")], docs.schema)
+    assert sorted(map(tuple, count(split).collect())) == sorted(want)
+    assert {r["term"]: r["tf"] for r in count(split, False).where("doc_id = 1").collect()} == {"run": 2, "b": 1}
