@@ -189,3 +189,14 @@ def test_counts_stay_in_their_row(spark):
     split = spark.createDataFrame([(1, "run b"), (1, "run"), (2, "runs running b"), (5, "é")], docs.schema)
     assert sorted(map(tuple, count(split).collect())) == sorted(want)
     assert {r["term"]: r["tf"] for r in count(split, False).where("doc_id = 1").collect()} == {"run": 2, "b": 1}
+
+
+def test_positions_stay_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "run b run"), (2, "runs b running"), (3, None), (4, "")], "doc_id long, text string")
+    found = lambda d, stems=True: index.postings_positional(d, T.tokens("text"), stems)
+    rows = sorted((*r[:3], list(r["positions"])) for r in found(docs).collect())
+    assert rows == sorted([("run", 1, 2, [1, 3]), ("b", 1, 1, [2]), ("runs", 2, 1, [1]), ("running", 2, 1, [3]), ("run", 2, 2, [1, 3]), ("b", 2, 1, [2])])
+    assert "Exchange" not in found(docs)._jdf.queryExecution().executedPlan().toString()
+    # the places of a document's rows come together
+    split = spark.createDataFrame([(1, "run b"), (1, "run")], docs.schema)
+    assert sorted((*r[:3], list(r["positions"])) for r in found(split, False).collect()) == [("b", 1, 1, [2]), ("run", 1, 2, [1, 1])]
