@@ -200,3 +200,11 @@ def test_positions_stay_in_their_row(spark):
     # the places of a document's rows come together
     split = spark.createDataFrame([(1, "run b"), (1, "run")], docs.schema)
     assert sorted((*r[:3], list(r["positions"])) for r in found(split, False).collect()) == [("b", 1, 1, [2]), ("run", 1, 2, [1, 1])]
+
+
+def test_merge_sorts_by_document_first(spark):
+    schema = "term string, doc_id long, tf long"
+    a, b = spark.createDataFrame([("t", 1, 5), ("t", 2, 1), ("v", 1, 4)], schema), spark.createDataFrame([("t", 1, 9), ("u", 3, 2)], schema)
+    merged = index.merge_indexes(a, b, accumulate=True)
+    assert merged.columns == ["term", "doc_id", "tf"] and sorted(map(tuple, merged.collect())) == [("t", 1, 14), ("t", 2, 1), ("u", 3, 2), ("v", 1, 4)]
+    assert "Sort [doc_id" in index.merge_indexes(a.hint("merge"), b)._jdf.queryExecution().executedPlan().toString()
