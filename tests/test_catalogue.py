@@ -89,3 +89,8 @@ def test_ranks_of_linked_pages_settle(spark, odd_pages):
     a, b = dict(ranks)["http://h:80/a"], dict(ranks)["http://h:80/b"]
     # a links to b and c, and b back to a: r(a) = 0.15 + 0.85 r(b), r(b) = 0.15 + 0.425 r(a)
     assert abs(a - 0.2775 / 0.63875) < 0.03 and abs(b - 0.15 - 0.425 * a) < 0.01
+
+
+def test_posting_cap_exchanges_postings_once(spark, sf):
+    plan = QUERIES["posting_cap"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
