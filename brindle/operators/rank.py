@@ -10,6 +10,8 @@ from brindle.functions.stem import stem
 # Fixed values of the serving ranker.
 EXACT_BOOST, STEM_BOOST = 50.0, 25.0
 POSTING_CAP, RESULT_CAP, PAGE_SIZE = 2000, 101, 10
+# Shares of the documents, least by hash, that are counted before a cap; the largest is read twice.
+LOW_SHARES = (1 / 8, 1 / 32, 1 / 128, 1 / 512)
 NO_TITLE, NO_PAGE = "No title found", "No page found"
 
 
@@ -25,8 +27,25 @@ def tfidf(postings: DataFrame, stats: DataFrame, words: list[str], limit: int |
     return out if limit is None else out.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-def capped(postings: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
-    """Of each term's postings at most ``cap``, those least by a hash of their document."""
+def _often(postings: DataFrame, cap: int) -> DataFrame:
+    """(often, bound): terms with ``cap`` postings or more whose documents hash below a bound, the least such of ``LOW_SHARES``."""
+    place = F.xxhash64("doc_id")
+    bounds = [int(share * 2**64) - 2**63 for share in sorted(LOW_SHARES)]
+    counts = postings.where(place < bounds[-1]).groupBy(F.col("term").alias("often")).agg(*(F.count_if(place < b).alias(f"n{i}") for i, b in enumerate(bounds)))
+    least = F.coalesce(*(F.when(F.col(f"n{i}") >= cap, F.lit(b)) for i, b in enumerate(bounds)))
+    return counts.where(F.col(f"n{len(bounds) - 1}") >= cap).select("often", least.alias("bound"))
+
+
+def capped(postings: DataFrame, cap: int = POSTING_CAP, ahead: bool = True) -> DataFrame:
+    """Of each term's postings at most ``cap``, those least by a hash of their document.
+
+    With ``ahead`` the documents of least hash are counted beforehand: a term that has ``cap`` postings below a bound has no place
+    for one above it, so these need not be exchanged and sorted. The result is the same. Such terms are at most one for each
+    ``cap`` postings counted.
+    """
+    if ahead and (often := _often(postings, cap).toArrow()).num_rows:
+        known = F.broadcast(postings.sparkSession.createDataFrame(often))
+        postings = postings.join(known, (F.col("term") == F.col("often")) & (F.xxhash64("doc_id") >= F.col("bound")), "left_anti")
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return postings.withColumn("place", place).where(F.col("place") <= cap).drop("place")
 
@@ -50,7 +69,7 @@ def search(postings: DataFrame, docs: DataFrame, words: list[str], n_docs: int |
     plan = F.broadcast(docs.sparkSession.createDataFrame(steps, "ord int, term string, word string, boost double"))
     hits = postings.where(F.col("term").isin(*{s[1] for s in steps}))
     if cap is not None:
-        hits = capped(hits, cap)
+        hits = capped(hits, cap, ahead=False)  # few terms
     sizes = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("n")))
     found = hits.join(sizes, "term").join(plan, "term").join(docs.select("doc_id", F.lower("url").alias("url")), "doc_id")
     weight = (1 + F.log10("tf")) * F.log10(F.lit(float(max(n_docs, 1))) / F.col("n"))

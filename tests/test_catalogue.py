@@ -7,7 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import rank
+from brindle.functions import text as T
+from brindle.operators import index, rank
 from brindle.plans.catalogue import ORACLE, QUERIES
 
 
@@ -94,3 +95,27 @@ def test_ranks_of_linked_pages_settle(spark, odd_pages):
 def test_posting_cap_exchanges_postings_once(spark, sf):
     plan = QUERIES["posting_cap"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_frequent_terms_are_cut_before_the_exchange(spark):
+    # "all" is in each document, "odd" in half of them, "few" in less than the cap
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.array(F.lit("all"), F.when(F.col("id") % 2 == 1, "odd").otherwise("all"), F.when(F.col("id") % 40 == 0, "few").otherwise("all")).alias("words"))
+    postings = index.postings_present(docs, F.col("words"))
+    got, plain = rank.capped(postings), rank.capped(postings, ahead=False)
+    assert sorted(got.collect()) == sorted(plain.collect())
+    assert {r["term"]: r["count"] for r in got.groupBy("term").count().collect()} == {"all": rank.POSTING_CAP, "odd": rank.POSTING_CAP, "few": 1000}
+    reached = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti")
+    assert reached(got) == 1 and reached(plain) == 0
+
+
+def test_postings_present_of_documents_in_several_rows(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b"]), (1, ["a"]), (2, ["a"]), (3, []), (4, None)], "doc_id long, words array<string>")
+    assert sorted(tuple(r) for r in index.postings_present(docs, F.col("words")).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+@pytest.mark.parametrize("mode", ["query", "v1", "v2"])
+def test_tokens_are_the_words_of_the_cleaned_text(spark, mode):
+    texts = ["", " ", None, "<b>A</b>b <i\nx> <c", "x\x0b\x0cy\r\n\tz\u00a0w\u0085v", "[a]-(b)_{c}&d<e>f\\\\g^h'i\"j", "\u039f\u0394\u039f\u03a3.\u0391 \u0130.I", "1-2 $3 %4 @5 a.b,c", "<<a>> > <"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    plain = F.filter(F.split(T.clean("text", mode), "\\s+"), lambda w: w != "")
+    assert [r["w"] for r in df.select(T.tokens("text", mode).alias("w")).collect()] == [r["w"] for r in df.select(plain.alias("w")).collect()]
